@@ -32,5 +32,7 @@ def family_match(model_id: Column | str, family: Column | str) -> Column:
     ``family`` may be a column (per-row family) or a literal string.
     """
     c = F.col(model_id) if isinstance(model_id, str) else model_id
-    fam = F.lit(family) if isinstance(family, str) else family
-    return F.lower(_basename(c)).rlike(F.concat(F.lit(r"(?U)\b"), fam))
+    base = F.lower(_basename(c))
+    if isinstance(family, str):
+        return base.rlike(rf"(?U)\b{family}")
+    return F.regexp_like(base, F.concat(F.lit(r"(?U)\b"), family))

@@ -188,7 +188,7 @@ gate AS (
               ELSE 'ok' END AS gate
   FROM (SELECT submission_id, max(batch_id) AS batch_id, max(contributor_id) AS contributor_id,
                max(submitted_at) AS submitted_at, count(*) AS n_rows,
-               count_if(NOT (label BETWEEN 0 AND 3)) AS bad_labels
+               count_if(NOT (label BETWEEN 0 AND 3))::BIGINT AS bad_labels
         FROM run_sub GROUP BY 1) h
   LEFT JOIN batches_v b ON b.id = h.batch_id),
 rows0 AS (
@@ -203,7 +203,7 @@ rows0 AS (
          ON st.pair_id = r.pair_id AND st.contributor_id = r.contributor_id),
 per_sub0 AS (
   SELECT g.*, coalesce(c.n_cand, 0) AS n_cand
-  FROM gate g LEFT JOIN (SELECT submission_id, count_if(reason IS NULL) AS n_cand FROM rows0 GROUP BY 1) c
+  FROM gate g LEFT JOIN (SELECT submission_id, count_if(reason IS NULL)::BIGINT AS n_cand FROM rows0 GROUP BY 1) c
        USING (submission_id)),
 completer AS (
   SELECT batch_id, submitted_at AS c_ts, submission_id AS c_sid FROM per_sub0
@@ -235,7 +235,7 @@ acc AS (
 sub_acc AS (
   SELECT submission_id, count(*) AS accepted, sum(input_tokens) AS in_tok, sum(output_tokens) AS out_tok,
          avg(CASE WHEN is_honeypot THEN (known_label::INTEGER = label::INTEGER)::INTEGER::DOUBLE END) AS hp_acc,
-         count_if(NOT is_honeypot AND required_annotations IS NOT NULL AND running_n >= required_annotations)
+         count_if(NOT is_honeypot AND required_annotations IS NOT NULL AND running_n >= required_annotations)::BIGINT
            AS pairs_verified
   FROM acc GROUP BY 1),
 new_ann AS (
@@ -395,7 +395,7 @@ FROM ann_v a LEFT JOIN hp_v h ON h.pair_id = a.pair_id""",
     "settle_pairs": ANN
     + """SELECT p.id AS pair_id, c.n AS n_annotations, c.r AS relevant_votes,
        CASE WHEN 2 * c.r = c.n THEN 'rejected' ELSE 'verified' END AS new_status
-FROM pairs_v p JOIN (SELECT pair_id, count(*) AS n, count_if(label >= 2) AS r FROM ann_v GROUP BY 1) c ON c.pair_id = p.id
+FROM pairs_v p JOIN (SELECT pair_id, count(*) AS n, count_if(label >= 2)::BIGINT AS r FROM ann_v GROUP BY 1) c ON c.pair_id = p.id
 WHERE NOT EXISTS (SELECT 1 FROM hp_v h WHERE h.pair_id = p.id) AND c.n >= p.required_annotations""",
     "submission_gate": RUN + "SELECT submission_id, batch_id, contributor_id, n_rows, gate FROM gate",
     "accept_annotations": RUN
@@ -427,10 +427,10 @@ FROM ann_v a LEFT JOIN hp_v h ON h.pair_id = a.pair_id LEFT JOIN contrib_v c ON
 GROUP BY a.batch_id, a.contributor_id""",
     "stats": ANN
     + """SELECT (SELECT count(*) FROM pairs_v) AS total_pairs,
-       (SELECT count_if(status = 'unlabeled') FROM pairs_v) AS unlabeled_pairs,
-       (SELECT count_if(status = 'verified') FROM pairs_v) AS verified_pairs,
-       (SELECT count_if(status = 'rejected') FROM pairs_v) AS rejected_pairs,
-       (SELECT count_if(last_seen_at > (SELECT now FROM as_of) - INTERVAL 24 HOURS) FROM contrib_v) AS active_contributors_24h,
+       (SELECT count_if(status = 'unlabeled')::BIGINT FROM pairs_v) AS unlabeled_pairs,
+       (SELECT count_if(status = 'verified')::BIGINT FROM pairs_v) AS verified_pairs,
+       (SELECT count_if(status = 'rejected')::BIGINT FROM pairs_v) AS rejected_pairs,
+       (SELECT count_if(last_seen_at > (SELECT now FROM as_of) - INTERVAL 24 HOURS)::BIGINT FROM contrib_v) AS active_contributors_24h,
        (SELECT count(*) FROM contrib_v) AS total_contributors,
        (SELECT count(DISTINCT pair_id) FROM ann_v WHERE created_at > (SELECT now FROM as_of) - INTERVAL 24 HOURS) AS pairs_per_day,
        (SELECT coalesce(sum(total_input_tokens), 0)::BIGINT FROM contrib_v) AS total_input_tokens,
@@ -460,15 +460,15 @@ FROM contrib_v c FULL OUTER JOIN logins n ON c.github_id = n.github_id""",
     + """SELECT 'pairs' AS table_name, count(*) AS n_rows,
        count_if(status IN ('unlabeled', 'verified', 'rejected') AND id IS NOT NULL AND query_text IS NOT NULL
                 AND doc_id IS NOT NULL AND doc_text IS NOT NULL AND source_dataset IS NOT NULL
-                AND retrieval_method IS NOT NULL AND required_annotations IS NOT NULL AND created_at IS NOT NULL) AS n_valid
+                AND retrieval_method IS NOT NULL AND required_annotations IS NOT NULL AND created_at IS NOT NULL)::BIGINT AS n_valid
 FROM pairs_v
 UNION ALL
 SELECT 'batches', count(*), count_if(status IN ('assigned', 'completed', 'expired') AND size BETWEEN 1 AND 500
-                                     AND expires_at IS NOT NULL AND assigned_at IS NOT NULL) FROM batches_v
+                                     AND expires_at IS NOT NULL AND assigned_at IS NOT NULL)::BIGINT FROM batches_v
 UNION ALL
 SELECT 'annotations', count(*), count_if(label BETWEEN 0 AND 3 AND model_id IS NOT NULL AND quantization IS NOT NULL
                                          AND raw_response_hash IS NOT NULL AND input_tokens IS NOT NULL
-                                         AND output_tokens IS NOT NULL AND created_at IS NOT NULL) FROM ann_v""",
+                                         AND output_tokens IS NOT NULL AND created_at IS NOT NULL)::BIGINT FROM ann_v""",
 }
 
 

@@ -1,3 +1,129 @@
-"""Streaming queries registered next to the batch ones (rows-only checks)."""
+"""Streaming queries registered next to the batch ones (rows-only checks).
 
-STREAM_QUERIES: dict = {}
+Each one derives an input stream from the driver tables (written by Spark as
+parquet files into a fresh folder under the shared checkpoint folder, one
+write per time slice so the file source replays them in event order), runs
+the Structured Streaming operator to completion (``availableNow`` or
+``processAllAvailable``) and returns the sink table as a DataFrame.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelforge.operators import reports
+from labelforge.session import checkpoint_dir
+from labelforge.sources import driver
+from labelforge.sources.corpus import build_corpus
+from labelforge.streaming import activity, expiry, mining
+from labelforge.streaming import submissions as sub_stream
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    base = checkpoint_dir(spark)
+    if base.startswith("file:"):
+        base = base[len("file:"):]
+    return os.path.join(base, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _slices(df: DataFrame, path: str, ts_col: str, n: int = 3) -> None:
+    """Write ``df`` as ``n`` consecutive time slices (separate jobs -> ordered files)."""
+    bounds = df.select(F.percentile_approx(ts_col, [i / n for i in range(1, n)]).alias("b")).first()["b"]
+    lo = None
+    for hi in list(bounds) + [None]:
+        part = df
+        if lo is not None:
+            part = part.where(F.col(ts_col) > F.lit(lo))
+        if hi is not None:
+            part = part.where(F.col(ts_col) <= F.lit(hi))
+        part.coalesce(1).write.mode("append").parquet(path)
+        lo = hi
+
+
+def q_stream_activity(spark: SparkSession, sf: str) -> DataFrame:
+    root = _scratch(spark, "activity")
+    ev = driver.table(spark, sf, "events")
+    _slices(ev, f"{root}/in", "ts")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = activity.rolling_active(stream, "ts", "user_id", watermark="1 hour")
+    name = f"activity_{uuid.uuid4().hex[:8]}"
+    q = out.writeStream.outputMode("append").format("memory").queryName(name).option(
+        "checkpointLocation", f"{root}/ck"
+    ).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def _lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
+    b = driver.batches(spark, sf)
+    assigned = b.select(F.col("id").alias("batch_id"), F.lit("assigned").alias("event"), F.col("assigned_at").alias("ts"), "expires_at")
+    closed = b.where(F.col("status") != "assigned").select(
+        F.col("id").alias("batch_id"),
+        F.when(F.col("status") == "completed", "completed").otherwise("released").alias("event"),
+        (F.col("assigned_at") + F.expr("INTERVAL 1 HOUR")).alias("ts"),
+        "expires_at",
+    )
+    return assigned.unionByName(closed)
+
+
+def q_stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    root = _scratch(spark, "expiry")
+    ev = _lifecycle_events(spark, sf)
+    _slices(ev, f"{root}/in", "ts")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = expiry.expiry_stream(stream)
+    name = f"expiry_{uuid.uuid4().hex[:8]}"
+    q = out.writeStream.outputMode("append").format("memory").queryName(name).option(
+        "checkpointLocation", f"{root}/ck"
+    ).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
+    root = _scratch(spark, "submissions")
+    subs = driver.run_submissions(spark, sf)
+    _slices(subs, f"{root}/in", "submitted_at")
+    ann = driver.annotations(spark, sf)
+    sink = sub_stream.SubmissionSink(
+        f"{root}/tables",
+        driver.pairs(spark, sf),
+        driver.batches(spark, sf),
+        driver.batch_pairs(spark, sf),
+        driver.honeypots(spark, sf),
+        ann,
+        reports.contributor_totals(driver.contributors_base(spark, sf), ann),
+    )
+    stream = spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    q = sub_stream.start(stream, sink, f"{root}/ck")
+    q.awaitTermination()
+    return sink.results(spark)
+
+
+def q_stream_mining(spark: SparkSession, sf: str) -> DataFrame:
+    root = _scratch(spark, "mining")
+    corpus = build_corpus(driver.conversation_rows(spark, sf))
+    qs = corpus.queries
+    # arrival order = query ordinal (conversation id, turn)
+    _slices(qs.withColumn("arrival", F.col("query_ord").cast("double")), f"{root}/in", "arrival")
+    from labelforge.plans.registry import CONV_CFG, ENCODER
+
+    miner = mining.MiningStream(corpus.docs, f"{root}/pairs", CONV_CFG, ENCODER)
+    stream = spark.readStream.schema(qs.schema.add("arrival", "double")).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    q = mining.start(stream, miner, f"{root}/ck")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/pairs")
+
+
+STREAM_QUERIES = {
+    "stream_submissions": q_stream_submissions,
+    "stream_activity": q_stream_activity,
+    "stream_expiry": q_stream_expiry,
+    "stream_mining": q_stream_mining,
+}

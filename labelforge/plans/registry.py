@@ -70,7 +70,7 @@ def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs_corpus(spark, sf):
-    return build_corpus(driver.document_rows(spark, sf))
+    return build_corpus(driver.document_rows(spark, sf), materialize=True)
 
 
 def q_bm25_terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,11 +50,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable checkpoint).
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet into the shared checkpoint folder and read it back.
 
-    Used for index frames that several retrieval jobs reuse: a lost executor then
-    re-reads the written files instead of recomputing the whole lineage.
+    Used for frames that several jobs reuse (the deduplicated corpus, the BM25
+    term frequencies): the lineage is cut, a lost executor re-reads files
+    instead of recomputing, and the data is computed exactly once (an eager
+    ``Dataset.checkpoint`` runs its input twice and stores serialized rows).
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/labelforge-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelforge.functions.ids import content_id
+from labelforge.session import cut_lineage
 
 ROW_SCHEMA = T.StructType(
     [
@@ -59,12 +60,15 @@ def build_corpus(
     ord_col: str = "ord",
     query_col: str = "query",
     document_col: str = "document",
+    materialize: bool = False,
 ) -> Corpus:
     """Exact document dedup (first occurrence wins) and the aligned query list.
 
     Queries are not deduplicated. Rows with a null query only add their document
     to the corpus. The aggregation combines map-side, so a document repeated in a
-    third of all rows costs one partial row per task.
+    third of all rows costs one partial row per task. ``materialize`` writes both
+    frames once to the shared checkpoint folder (the corpus feeds the BM25
+    index, the encoder, padding and the final text join).
     """
     keyed = rows.select(
         F.col(ord_col).cast("long").alias("ord"),
@@ -81,4 +85,6 @@ def build_corpus(
         F.col("query").alias("query_text"),
         F.col("doc_id").alias("positive_doc_id"),
     )
+    if materialize:
+        docs, queries = cut_lineage(docs), cut_lineage(queries)
     return Corpus(docs=docs, queries=queries)

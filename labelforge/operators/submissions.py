@@ -40,12 +40,14 @@ ROW_FIELDS = (
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key by ``order`` (an aggregation, so a hot key combines map-side)."""
-    payload = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*[F.col(c) for c in payload]), F.struct(*[F.col(c) for c in order])).alias("_first")
-    )
-    return agg.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload])
+    """First row per key by ``order``.
+
+    ``row_number() = 1`` is planned as a partial ``WindowGroupLimit`` before the
+    shuffle and a final one after it, so a key holding a third of all rows is
+    cut to one row per map task before it moves (like a map-side combine).
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order])
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def flatten(nested: DataFrame) -> DataFrame:
@@ -106,8 +108,20 @@ def process(
     annotations: DataFrame,
     contributors: DataFrame,
     pairs: DataFrame,
+    materialize: bool = False,
 ) -> SubmissionRun:
+    """Run every submission of ``subs`` against the stored tables.
+
+    The run has five outputs that share the row decisions; with
+    ``materialize`` the per-row and per-submission decisions are written once
+    to the shared checkpoint folder and every output reads them (use it when
+    several outputs are written; a single output is cheaper lazily).
+    """
+    from labelforge.session import cut_lineage
+
     g = gate(subs, batches)
+    if materialize:
+        g = cut_lineage(g, "sub-gate")
     ok_subs = g.where(F.col("gate") == "ok").select("submission_id")
     rows = subs.join(ok_subs, "submission_id", "left_semi")
 
@@ -146,6 +160,8 @@ def process(
     ).withColumn("completes", (F.col("gate") == "ok") & F.col("completer").isNotNull() & (key == F.col("completer")))
     del w_batch
 
+    if materialize:
+        per_sub = cut_lineage(per_sub, "sub-outcome")
     completing = per_sub.where("completes").select("submission_id")
     rows = rows.join(per_sub.select("submission_id", "outcome", "completes"), "submission_id")
     rows = rows.withColumn(
@@ -153,6 +169,8 @@ def process(
     )
     # cross-batch repeats of a (pair, contributor) key: first in run order wins
     w_key = Window.partitionBy("pair_id", "contributor_id").orderBy(*_order_cols(), F.col("pos").asc())
+    if materialize:
+        rows = cut_lineage(rows, "sub-rows")
     cand_rows = rows.where(F.col("reason").isNull() & F.col("completes"))
     cand_rows = cand_rows.withColumn("krn", F.row_number().over(w_key))
     hp = honeypots.select("pair_id", "known_label")
@@ -162,6 +180,8 @@ def process(
         .join(hp, "pair_id", "left")
         .withColumn("is_honeypot", F.col("known_label").isNotNull())
     )
+    if materialize:
+        accepted = cut_lineage(accepted, "sub-accepted")
     del completing
 
     # running annotation count per pair -> pairs_verified per submission

@@ -21,6 +21,7 @@ from labelforge.functions.vectors import l2_normalize
 from labelforge.operators import bm25, candidates, dense, fusion, ivf, lifecycle, planning, reports, submissions, votes
 from labelforge.operators.encoders import HashedBagOfWords
 from labelforge.sources import driver, sink
+from labelforge.session import cut_lineage
 from labelforge.sources.corpus import build_corpus
 
 CONV_CFG = MiningConfig(dataset_name="driver", split="conversations")
@@ -180,6 +181,8 @@ def q_ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tables(spark, sf):
+    """The annotation tables derived from the driver data, each derived once and
+    read back as a stored table (as they would be in a deployment)."""
     return dict(
         pairs=driver.pairs(spark, sf),
         annotations=driver.annotations(spark, sf),
@@ -272,7 +275,7 @@ def _run(spark, sf):
     contrib = reports.contributor_totals(driver.contributors_base(spark, sf), t["annotations"])
     subs = driver.run_submissions(spark, sf)
     return submissions.process(
-        subs, t["batches"], t["batch_pairs"], t["honeypots"], t["annotations"], contrib, t["pairs"]
+        subs, t["batches"], t["batch_pairs"], t["honeypots"], t["annotations"], contrib, t["pairs"], materialize=False
     )
 
 

@@ -54,8 +54,19 @@ SAMPLE_MODEL_IDS = (
 CONV_ORD_FACTOR = 1_000_000
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table (one relation per session and path: the file
+    listing and footer read happen once, and every use shares the relation)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 # ----------------------------------------------------------------------------- mining

@@ -46,7 +46,7 @@ def stats(pairs: DataFrame, contributors: DataFrame, annotations: DataFrame, as_
     Pair counts by status, contributors total/active (``last_seen_at > as_of -
     window``), token totals (null-safe), distinct pairs annotated in the window
     (honeypots included). Each part is a global aggregate with partial
-    aggregation; the three one-row results are combined as scalar subqueries.
+    aggregation; the three one-row results are joined on a constant key.
     """
     now = _ts(as_of)
     since = now - F.expr(f"INTERVAL {int(window_hours)} HOURS")
@@ -63,16 +63,20 @@ def stats(pairs: DataFrame, contributors: DataFrame, annotations: DataFrame, as_
         F.count_if(F.col("status") == "verified").alias("verified_pairs"),
         F.count_if(F.col("status") == "rejected").alias("rejected_pairs"),
     )
-    return p.select(
+    # three one-row aggregates (each with map-side partial aggregation) joined
+    # on a constant key; every side is exactly one row, so it is broadcast
+    one = F.lit(1).alias("_k")
+    row = p.select("*", one).join(F.broadcast(c.select("*", one)), "_k").join(F.broadcast(a.select("*", one)), "_k")
+    return row.select(
         "total_pairs",
         "unlabeled_pairs",
         "verified_pairs",
         "rejected_pairs",
-        c.select("active_contributors_24h").scalar().alias("active_contributors_24h"),
-        c.select("total_contributors").scalar().alias("total_contributors"),
-        a.select("pairs_per_day").scalar().alias("pairs_per_day"),
-        c.select("total_input_tokens").scalar().alias("total_input_tokens"),
-        c.select("total_output_tokens").scalar().alias("total_output_tokens"),
+        "active_contributors_24h",
+        "total_contributors",
+        "pairs_per_day",
+        "total_input_tokens",
+        "total_output_tokens",
     )
 
 

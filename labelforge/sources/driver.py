@@ -189,8 +189,8 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored annotations: rows of completed batches, first per (pair, contributor)."""
     from labelforge.operators.submissions import first_per_key
 
-    done = batches(spark, sf_dir).where(F.col("status") == "completed").select(F.col("id").alias("batch_id"))
-    sub = submissions(spark, sf_dir).join(done, "batch_id", "left_semi")
+    # the status rule depends on the batch id only, so no join with batches
+    sub = submissions(spark, sf_dir).where(batch_status(F.col("batch_id")) == "completed")
     hp = honeypots(spark, sf_dir).select("pair_id")
     stored = first_per_key(sub, ["pair_id", "contributor_id"], list(ARRIVAL_ORDER))
     return stored.join(hp.withColumn("is_honeypot", F.lit(True)), "pair_id", "left").select(
@@ -248,6 +248,10 @@ def contributors_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).join(seen, "id", "left")
 
 
+def batch_status(batch_id: F.Column) -> F.Column:
+    return F.when(batch_id % 10 == 0, "assigned").when(batch_id % 10 == 1, "expired").otherwise("completed")
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     b = li.select(
@@ -260,9 +264,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id",
         "contributor_id",
         "size",
-        F.when(F.col("id") % 10 == 0, "assigned").when(F.col("id") % 10 == 1, "expired").otherwise("completed").alias(
-            "status"
-        ),
+        batch_status(F.col("id")).alias("status"),
         "assigned_at",
         (F.col("assigned_at") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"),
     )
@@ -274,5 +276,6 @@ def batch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of(spark: SparkSession, sf_dir: str):
-    """The reference time of the driver data (scalar subquery column)."""
-    return table(spark, sf_dir, "lineitem").select(F.max("l_shipdate")).scalar()
+    """The reference time of the driver data: one scalar, fetched once and used
+    as a literal (so it is not re-evaluated inside every time rule)."""
+    return table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate")).first()[0]

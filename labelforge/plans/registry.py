@@ -79,8 +79,8 @@ def q_bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
     return idx.terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-def _bm25_bench(spark, sf, top_k=DOCS_CFG.bm25_top_k):
-    corpus = _docs_corpus(spark, sf)
+def _bm25_bench(spark, sf, top_k=DOCS_CFG.bm25_top_k, corpus=None):
+    corpus = corpus or _docs_corpus(spark, sf)
     idx = bm25.build_index(corpus.docs, salt_postings=DOCS_CFG.salt_postings)
     return bm25.retrieve(idx, driver.benchmark_queries(spark, sf), top_k)
 
@@ -121,8 +121,8 @@ def q_dense_topk_exact(spark: SparkSession, sf: str) -> DataFrame:
     return _dense_self(spark, sf).select("query_ord", "doc_id", "rank", "score")
 
 
-def _dense_bench(spark, sf):
-    corpus = _docs_corpus(spark, sf)
+def _dense_bench(spark, sf, corpus=None):
+    corpus = corpus or _docs_corpus(spark, sf)
     docs = ENCODER.encode(corpus.docs, "doc_id", "doc_text").select("doc_id", "first_ord", "embedding")
     qs = driver.benchmark_queries(spark, sf)
     qv = ENCODER.encode(qs, "query_ord", "query_text").select("query_ord", "embedding")
@@ -130,7 +130,8 @@ def _dense_bench(spark, sf):
 
 
 def q_rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    fused = fusion.rrf(_bm25_bench(spark, sf), _dense_bench(spark, sf), DOCS_CFG.rrf_k)
+    corpus = _docs_corpus(spark, sf)
+    fused = fusion.rrf(_bm25_bench(spark, sf, corpus=corpus), _dense_bench(spark, sf, corpus=corpus), DOCS_CFG.rrf_k)
     return fused.select("query_ord", "doc_id", "bm25_rank", "dense_rank", "fused_rank", "rrf_score")
 
 

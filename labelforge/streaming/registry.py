@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.operators import reports
-from labelforge.session import checkpoint_dir
+from labelforge.session import checkpoint_dir, cut_lineage
 from labelforge.sources import driver
 from labelforge.sources.corpus import build_corpus
 from labelforge.streaming import activity, expiry, mining
@@ -90,15 +90,16 @@ def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark, "submissions")
     subs = driver.run_submissions(spark, sf)
     _slices(subs, f"{root}/in", "submitted_at")
-    ann = driver.annotations(spark, sf)
+    # the stored tables the stream runs against, derived once
+    ann = cut_lineage(driver.annotations(spark, sf), "annotations")
     sink = sub_stream.SubmissionSink(
         f"{root}/tables",
-        driver.pairs(spark, sf),
-        driver.batches(spark, sf),
-        driver.batch_pairs(spark, sf),
-        driver.honeypots(spark, sf),
+        cut_lineage(driver.pairs(spark, sf), "pairs"),
+        cut_lineage(driver.batches(spark, sf), "batches"),
+        cut_lineage(driver.batch_pairs(spark, sf), "batch_pairs"),
+        cut_lineage(driver.honeypots(spark, sf), "honeypots"),
         ann,
-        reports.contributor_totals(driver.contributors_base(spark, sf), ann),
+        cut_lineage(reports.contributor_totals(driver.contributors_base(spark, sf), ann), "contributors"),
     )
     stream = spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     q = sub_stream.start(stream, sink, f"{root}/ck")

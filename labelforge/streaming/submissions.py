@@ -92,8 +92,9 @@ class SubmissionSink:
     def process_batch(self, micro: DataFrame, epoch_id: int) -> None:
         spark = micro.sparkSession
         t = self.current(spark, before=epoch_id)
+        # five outputs share the decisions: materialise them once per micro-batch
         run = sub_ops.process(micro, t["batches"], t["batch_pairs"], t["honeypots"], t["annotations"],
-                              t["contributors"], t["pairs"])
+                              t["contributors"], t["pairs"], materialize=True)
         accepted = run.rows.where("accepted").select("submission_id", "pos")
         new_ann = (
             micro.join(accepted, ["submission_id", "pos"], "left_semi")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelforge.functions.time import ts_ntz
+
 
 def _ts(as_of) -> Column:
-    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    return ts_ntz(as_of)
 
 
 def expire(batches: DataFrame, as_of) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelforge.functions.time import ts_ntz
+
 S, L, I, D, B, TS, SH = (
     T.StringType(),
     T.LongType(),
@@ -105,7 +107,7 @@ LABEL_RANGE = (0, 3)
 def with_defaults(df: DataFrame, table: str, as_of=None) -> DataFrame:
     """Fill missing or null columns with the table defaults and cast to the schema."""
     schema = TABLES[table]
-    now = F.current_timestamp().cast("timestamp_ntz") if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    now = ts_ntz(as_of)
     cols = []
     for f in schema.fields:
         d = DEFAULTS.get(table, {}).get(f.name)

@@ -30,6 +30,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelforge.operators.running import running_sums
+
 ROW_FIELDS = (
     "pair_id",
     "label",
@@ -72,6 +74,11 @@ def _order_cols() -> list[Column]:
     return [F.col("submitted_at").asc(), F.col("submission_id").asc()]
 
 
+def _hour() -> Column:
+    """Bucket of the run order for skew-safe running sums (monotone in the order)."""
+    return F.date_trunc("hour", F.col("submitted_at"))
+
+
 def gate(subs: DataFrame, batches: DataFrame) -> DataFrame:
     """One row per submission with ``outcome`` (A1 + label domain check)."""
     header = subs.groupBy("submission_id").agg(
@@ -180,16 +187,18 @@ def process(
         .join(hp, "pair_id", "left")
         .withColumn("is_honeypot", F.col("known_label").isNotNull())
     )
-    if materialize:
-        accepted = cut_lineage(accepted, "sub-accepted")
     del completing
 
     # running annotation count per pair -> pairs_verified per submission
     stored_n = annotations.groupBy("pair_id").agg(F.count(F.lit(1)).alias("stored_n"))
     req = pairs.select(F.col("id").alias("pair_id"), "required_annotations")
+    # running count per pair in run order, for non-honeypot pairs only: those
+    # stop being offered once they reach their requirement, so a group is
+    # bounded; honeypots (claimed by everyone, hot) never settle and skip it
     w_pair = Window.partitionBy("pair_id").orderBy(*_order_cols()).rowsBetween(Window.unboundedPreceding, 0)
+    regular = accepted.where(~F.col("is_honeypot"))
     acc = (
-        accepted.join(stored_n, "pair_id", "left")
+        regular.join(stored_n, "pair_id", "left")
         .join(req, "pair_id", "left")
         .withColumn("running_n", F.coalesce("stored_n", F.lit(0)) + F.count(F.lit(1)).over(w_pair))
         .withColumn(
@@ -199,15 +208,15 @@ def process(
             & (F.col("running_n") >= F.col("required_annotations")),
         )
     )
-    sub_acc = acc.groupBy("submission_id").agg(
+    verified = acc.groupBy("submission_id").agg(F.count_if("settles").alias("pairs_verified"))
+    sub_acc = accepted.groupBy("submission_id").agg(
         F.count(F.lit(1)).alias("accepted"),
         F.sum("input_tokens").alias("in_tok"),
         F.sum("output_tokens").alias("out_tok"),
         F.avg(F.when(F.col("is_honeypot"), (F.col("known_label").cast("int") == F.col("label").cast("int")).cast("double"))).alias(
             "hp_acc"
         ),
-        F.count_if("settles").alias("pairs_verified"),
-    )
+    ).join(verified, "submission_id", "left")
 
     new_ann = annotations.unionByName(
         accepted.select(
@@ -246,15 +255,25 @@ def process(
         F.col("total_input_tokens").alias("base_in"),
         F.col("total_output_tokens").alias("base_out"),
     )
-    w_contrib = Window.partitionBy("contributor_id").orderBy(*_order_cols()).rowsBetween(Window.unboundedPreceding, 0)
+    # running token totals per contributor in run order (skew-safe: one
+    # contributor may send a third of all submissions)
     res = (
         per_sub.join(sub_acc, "submission_id", "left")
         .join(rebuilt, ["batch_id", "contributor_id"], "left")
         .join(c_tot, "contributor_id", "left")
         .withColumn("in_tok", F.coalesce("in_tok", F.lit(0)))
         .withColumn("out_tok", F.coalesce("out_tok", F.lit(0)))
-        .withColumn("cum_in", F.sum(F.when(F.col("outcome") == "ok", F.col("in_tok")).otherwise(0)).over(w_contrib))
-        .withColumn("cum_out", F.sum(F.when(F.col("outcome") == "ok", F.col("out_tok")).otherwise(0)).over(w_contrib))
+    )
+    ok_sub = F.col("outcome") == "ok"
+    res = running_sums(
+        res,
+        ["contributor_id"],
+        _order_cols(),
+        {
+            "cum_in": F.when(ok_sub, F.col("in_tok")).otherwise(F.lit(0)),
+            "cum_out": F.when(ok_sub, F.col("out_tok")).otherwise(F.lit(0)),
+        },
+        _hour(),
     )
     handled = F.col("outcome").isin("ok", "replay")
     results = res.select(

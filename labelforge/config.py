@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the original tool for identical results.
-# Mining defaults: bm25_top_k 1000, dense_top_k 1000, rrf_k 60,
+# Mining defaults: source dataset "nomic-ai/nomic-embed-unsupervised-data"
+# split "squad" (they form the source label, hence the pair ids),
+# bm25_top_k 1000, dense_top_k 1000, rrf_k 60,
 # candidates_per_query 10, embedding_batch_size 256, min_search_docs 100000,
 # write batch size 5000, retrieval method label "bm25+dense",
 # source label "<dataset_name>/<split>".

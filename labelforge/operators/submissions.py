@@ -151,7 +151,6 @@ def process(
     # step 4: first submission with a candidate row completes the batch
     cand = rows.groupBy("submission_id").agg(F.count_if(F.col("reason").isNull()).alias("n_cand"))
     per_sub = g.join(cand, "submission_id", "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
-    w_batch = Window.partitionBy("batch_id").orderBy(*_order_cols())
     key = F.struct("submitted_at", "submission_id")
     per_sub = per_sub.withColumn(
         "completer",
@@ -165,7 +164,6 @@ def process(
             (F.col("gate") == "ok") & F.col("completer").isNotNull() & (key > F.col("completer")), F.lit("replay")
         ).otherwise(F.col("gate")),
     ).withColumn("completes", (F.col("gate") == "ok") & F.col("completer").isNotNull() & (key == F.col("completer")))
-    del w_batch
 
     if materialize:
         per_sub = cut_lineage(per_sub, "sub-outcome")

@@ -31,10 +31,6 @@ CLAIM_SIZE = 100
 CLAIM_MODEL = "Qwen/Qwen2.5-7B-Instruct-AWQ"
 
 
-def _r6(c: str):
-    return F.round(F.col(c), 6).alias(c)
-
-
 # ----------------------------------------------------------------------------- corpus
 
 

@@ -4,10 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelforge.llm import exact_dedup, simhash
-from labelforge.llm.common import table
+from labelforge.llm import exact_dedup, quality, simhash, toxicity
+from labelforge.llm.bpe import BytePairTokenizer
+from labelforge.llm.common import crc_fold, table, whole_text
+from labelforge.llm.license_scan import license_labels, license_scan
+
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+def _with_fold(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold(5) == 0
+    return _with_fold(toxicity.toxicity(docs, labels, ~held_out), held_out)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold(3) == 1
+    return _with_fold(quality.quality(docs, labels, ~held_out), held_out)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", license_scan(whole_text()).alias("found"))
+    return docs.select("doc_id", *[c.alias(name) for name, c in license_labels(F.col("found")).items()])
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = BytePairTokenizer(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(whole_text()).alias("ids"))
+    both = coded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +58,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
+    "op4_license_scan": op4_license_scan,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import exact_dedup, packing, quality, simhash, spotsigs, toxicity
+from labelforge.llm import exact_dedup, line_dedup, packing, quality, simhash, spotsigs, toxicity
 from labelforge.llm.bpe import BytePairTokenizer
 from labelforge.llm.common import crc_fold, table, whole_text
 from labelforge.llm.license_scan import license_labels, license_scan
@@ -37,6 +37,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[c.alias(name) for name, c in license_labels(F.col("found")).items()])
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = BytePairTokenizer(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
     coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(whole_text()).alias("ids"))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_license_scan": op4_license_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,

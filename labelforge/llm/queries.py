@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import exact_dedup, line_dedup, packing, quality, simhash, spotsigs, toxicity
+from labelforge.llm import exact_dedup, language_model, line_dedup, packing, quality, simhash, spotsigs, toxicity
 from labelforge.llm.bpe import BytePairTokenizer
 from labelforge.llm.common import crc_fold, table, whole_text
 from labelforge.llm.license_scan import license_labels, license_scan
@@ -20,6 +20,10 @@ def _with_fold(scored: DataFrame, held_out: Column) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.interpolated_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_fold(5) == 0
@@ -70,6 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_license_scan": op4_license_scan,

@@ -227,3 +227,34 @@ def simhash_components(
     return marked.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Ids of removed documents below this number are broadcast; beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest, one of each id, columns unchanged.
+
+    Defined cases: of rows that repeat a kept id one stays; a row with a null id
+    can't be named, so it stays; everything else as in ``simhash_components``.
+    """
+    found = simhash_components(docs, **options).where(F.col("doc_id").isNotNull())
+    marked = found.groupBy("doc_id").agg(
+        F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows")
+    )
+    marked = cut_lineage(marked.where("gone or rows > 1"), "simhash-decisions")
+    gone = marked.where("gone").select(F.col("doc_id").alias("named"))
+    repeated = marked.where("rows > 1 and not gone").select(F.col("doc_id").alias("named"))
+
+    def small(ids: DataFrame) -> tuple[DataFrame, int]:
+        n = ids.count()
+        return (F.broadcast(ids) if n <= BROADCAST_IDS else ids), n
+
+    lost, _ = small(gone)
+    kept = docs.join(lost, docs["doc_id"] == lost["named"], "left_anti")
+    again, n = small(repeated)
+    if not n:
+        return kept
+    single = kept.join(again, kept["doc_id"] == again["named"], "left_anti")
+    return single.union(kept.join(again, kept["doc_id"] == again["named"], "left_semi").dropDuplicates(["doc_id"]))

@@ -99,22 +99,26 @@ def tokens_of(text: str) -> list[bytes]:
 _BLOCK_SCHEMA = "block string, weigh boolean, n_tokens long, ids array<string>, folds array<int>, sizes binary, tokens binary, words binary"
 
 
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encode(block_chars: int):
     """Blocks of a partition's rows; rows of the weight fold make blocks of their own."""
-    part, number = TaskContext.get().partitionId(), count()
-    open_blocks = {weigh: [] for weigh in (False, True)}
-    chars = {False: 0, True: 0}
-    for batch in batches:
-        for doc_id, fold, text in zip(batch["id"], batch["fold"], batch["text"]):
-            weigh = fold == WEIGHT_FOLD
-            open_blocks[weigh].append((doc_id, fold, text))
-            chars[weigh] += len(text)
-            if chars[weigh] >= BLOCK_CHARS:
-                yield _block(f"{part}-{next(number)}", weigh, open_blocks[weigh])
-                open_blocks[weigh], chars[weigh] = [], 0
-    for weigh, rows in open_blocks.items():
-        if rows:
-            yield _block(f"{part}-{next(number)}", weigh, rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number = TaskContext.get().partitionId(), count()
+        open_blocks: dict[bool, list] = {False: [], True: []}
+        chars = {False: 0, True: 0}
+        for batch in batches:
+            for doc_id, fold, text in zip(batch["id"], batch["fold"], batch["text"]):
+                weigh = fold == WEIGHT_FOLD
+                open_blocks[weigh].append((doc_id, fold, text))
+                chars[weigh] += len(text)
+                if chars[weigh] >= block_chars:
+                    yield _block(f"{part}-{next(number)}", weigh, open_blocks[weigh])
+                    open_blocks[weigh], chars[weigh] = [], 0
+        for weigh, rows in open_blocks.items():
+            if rows:
+                yield _block(f"{part}-{next(number)}", weigh, rows)
+
+    return run
 
 
 def _block(name: str, weigh: bool, rows: list[tuple]) -> pd.DataFrame:
@@ -316,7 +320,7 @@ def _score(model: Interpolation):
     return run
 
 
-def interpolated_scores(docs: DataFrame) -> DataFrame:
+def interpolated_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Scores are log10 probabilities of the words and one end token. Defined
@@ -327,7 +331,7 @@ def interpolated_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), crc_fold(FOLDS).cast("int").alias("fold"), whole_text().alias("text"))
-    blocks = cut_lineage(rows.mapInPandas(_encode, _BLOCK_SCHEMA), "lm-blocks")
+    blocks = cut_lineage(rows.mapInPandas(_encode(block_chars), _BLOCK_SCHEMA), "lm-blocks")
     n_tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     ranges = max(parallelism(spark), -(-n_tokens // RANGE_TOKENS))
     asked = blocks.mapInPandas(_requests(ranges), "range int, order int, block string, keys binary, own binary")

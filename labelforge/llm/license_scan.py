@@ -120,7 +120,7 @@ NOTICES = (
     ("gpl", "free software", r"this program is free software you can redistribute it and or modify", 70, 0.9),
     ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 70, 0.95),
     ("zlib", "as is without any express", r"this software is provided as is without any express or implied warranty", 65, 0.7),
-    ("warranty", "without warranty", r"without warrant(?:y|ies) (?:or conditions )?of any kind", 30, 0.3),
+    ("warranty", "without warrant", r"without warrant(?:y|ies) (?:or conditions )?of any kind", 30, 0.3),
     ("warranty", "provided", r"(?:is )?provided (?:on an )?as is(?: basis)?", 20, 0.2),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", 40, 0.4),
     ("reserved", "all rights reserved", r"all rights reserved", 50, 0.6),

@@ -167,7 +167,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHAR
     probe = long.select(F.explode(F.array(*probe_keys(line, length, edits))).alias("key"), F.col("id").alias("b"))
     probe = probe.where(F.col("key").isNotNull())
     crowded = cut_lineage(
-        index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / (16 * hot)).cast("int").alias("parts")),
+        index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / (16 * max(1, hot))).cast("int").alias("parts")),
         "crowded-segments",
     )
     cold = index.join(crowded, "key", "left_anti").join(probe, "key").where("a <> b").select("a", "b")

@@ -16,6 +16,8 @@ or near. Lines below ``MIN_CHARS`` characters are left alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,41 +51,46 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\u000b\f"))
 
 
-def _segment(length: Column, number: int | Column, segments: int) -> tuple[Column, Column]:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, not wherever the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _segment(length: Column, number: Column, segments: int) -> tuple[Column, Column]:
     """Start (from 0) and size of a segment of an even partition; the last ones take the remainder."""
-    number = F.lit(number) if isinstance(number, int) else number
-    size = F.floor(length / segments).cast("int")
+    size = F.call_function("div", length, F.lit(segments)).cast("int")
     extra = length - size * segments
     before = F.greatest(F.lit(0), extra - (F.lit(segments) - number))
     own = F.when(F.lit(segments) - number <= extra, size + 1).otherwise(size)
     return size * number + before, own
 
 
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    """Hashes of (segment number, length, segment)."""
-    out = []
-    for k in range(edits + 1):
-        start, size = _segment(length, k, edits + 1)
-        out.append(F.xxhash64(F.lit(k), length, F.substring(line, start + 1, size)))
-    return out
+def index_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, a): hashes of (segment number, length, segment) of ``lines(id, line, length)``."""
+    k, length = F.col("k"), F.col("length")
+    start, size = _segment(length, k, edits + 1)
+    each = lines.select("id", "line", "length", F.explode(F.array(*[F.lit(i) for i in range(edits + 1)])).alias("k"))
+    return each.select(F.xxhash64(k, length, F.substring(F.col("line"), start + 1, size)).alias("key"), F.col("id").alias("a"))
 
 
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    """Hashes of the substrings that a line no longer than this one may hold as a segment.
+def probe_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, b): hashes of the substrings that a line no longer than b's may hold as a segment.
 
     For a length difference d and segment k the start may be off by at most k
     from the left end and by at most edits - k from the right end.
     """
-    out = []
-    for d in range(edits + 1):
-        other = length - d
-        for k in range(edits + 1):
-            start, size = _segment(other, k, edits + 1)
-            for off in range(max(-k, d - (edits - k)), min(k, d + (edits - k)) + 1):
-                at = start + off
-                key = F.xxhash64(F.lit(k), other, F.substring(line, at + 1, size))
-                out.append(F.when((at >= 0) & (at + size <= length), key))
-    return out
+    shapes = [
+        F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(off).alias("off"))
+        for d in range(edits + 1)
+        for k in range(edits + 1)
+        for off in range(max(-k, d - (edits - k)), min(k, d + (edits - k)) + 1)
+    ]
+    each = lines.select("id", "line", "length", F.explode(F.array(*shapes)).alias("s"))
+    k, other = F.col("s.k"), F.col("length") - F.col("s.d")
+    start, size = _segment(other, k, edits + 1)
+    at = start + F.col("s.off")
+    key = F.xxhash64(k, other, F.substring(F.col("line"), at + 1, size))
+    return each.where((at >= 0) & (at + size <= F.col("length"))).select(key.alias("key"), F.col("id").alias("b"))
 
 
 def enough_fine_segments(a: Column, b: Column, edits: int = EDITS, segments: int = FINE_SEGMENTS) -> Column:
@@ -110,13 +117,9 @@ def banded_edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     width = 2 * edits + 1
     mask = (1 << width) - 1
     falling = (1 << edits) - 1  # before the first column: rows above the first character fall, the others rise
-    left, right = F.split(a, ""), F.split(b, "")
-    lag = F.char_length(b) - F.char_length(a)
-
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(state: Column, j: Column) -> Column:
+    def step(pair: Column, state: Column, j: Column) -> Column:
+        left, right, lag = pair["left"], pair["right"], pair["lag"]
         vp, vn = state["vp"], state["vn"]
         matches = [
             F.when(F.get(left, j - F.lit(edits - i)) == F.get(right, j), F.lit(1 << i)).otherwise(F.lit(0))
@@ -137,11 +140,17 @@ def banded_edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
                 (state["d"] + F.lit(1) - F.call_function("shiftright", d0, F.lit(edits) - lag).bitwiseAND(F.lit(1))).alias("d"),
             )
 
-        return F.when(state["d"] > edits, state).otherwise(let(let(pm, with_pm), with_d0))
+        return F.when(state["d"] > edits, state).otherwise(_let(_let(pm, with_pm), with_d0))
 
-    start = F.struct(F.lit(mask ^ falling).alias("vp"), F.lit(falling).alias("vn"), lag.alias("d"))
-    columns = F.sequence(F.lit(0), F.char_length(b) - 1)
-    return F.when(F.char_length(b) == 0, F.lit(0)).otherwise(F.aggregate(columns, start, step, lambda s: s["d"]))
+    def whole(pair: Column) -> Column:
+        start = F.struct(F.lit(mask ^ falling).alias("vp"), F.lit(falling).alias("vn"), pair["lag"].alias("d"))
+        columns = F.sequence(F.lit(0), F.size(pair["right"]) - 1)
+        return F.aggregate(columns, start, lambda state, j: step(pair, state, j), lambda state: state["d"])
+
+    pair = F.struct(
+        F.split(a, "").alias("left"), F.split(b, "").alias("right"), (F.char_length(b) - F.char_length(a)).alias("lag")
+    )
+    return F.when(F.char_length(b) == 0, F.lit(0)).otherwise(_let(pair, whole))
 
 
 def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -162,18 +171,19 @@ def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def near_lines(lines: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, hot: int = HOT_SEGMENT) -> DataFrame:
     """(a, b): ids of the distinct lines within ``edits`` edits, a's line no longer than b's; every pair once."""
     long = lines.where(F.col("length") >= max(near_chars, edits + 1)).select("id", "line", "length")
-    line, length = F.col("line"), F.col("length")
-    index = long.select(F.explode(F.array(*index_keys(line, length, edits))).alias("key"), F.col("id").alias("a"))
-    probe = long.select(F.explode(F.array(*probe_keys(line, length, edits))).alias("key"), F.col("id").alias("b"))
-    probe = probe.where(F.col("key").isNotNull())
+    index, probe = index_keys(long, edits), probe_keys(long, edits)
     crowded = cut_lineage(
         index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / (16 * max(1, hot))).cast("int").alias("parts")),
         "crowded-segments",
     )
-    cold = index.join(crowded, "key", "left_anti").join(probe, "key").where("a <> b").select("a", "b")
-    cold = cut_lineage(cold.distinct(), "line-candidates")
+    # one pass of the probes: crowded segments are met by their key alone, the others by their lines
+    sought = index.join(crowded, "key", "left_anti").select("key", "a", F.lit(None).cast("int").alias("parts"))
+    sought = sought.union(crowded.select("key", F.lit(None).cast("long"), "parts"))
+    met = sought.join(probe, "key").where("a is null or a <> b").select("key", "a", "parts", "b")
+    met = cut_lineage(met, "segment-matches")
+    cold = met.where("a is not null").select("a", "b").distinct()
+    hot_probe = met.where("a is null").select("key", "parts", "b")
     hot_index = cut_lineage(index.join(crowded, "key"), "crowded-index")
-    hot_probe = cut_lineage(probe.join(crowded, "key"), "crowded-probe")
     ids = cut_lineage(
         cold.select(F.col("a").alias("id"))
         .union(cold.select("b"))
@@ -188,12 +198,12 @@ def near_lines(lines: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHAR
     b = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("length").alias("nb"))
     fits = enough_fine_segments(F.col("la"), F.col("lb"), edits)
     once = (F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    # crowded segments: index rows are dealt into parts, probes go to every part, and only fitting pairs come out
+    # index rows of crowded segments are dealt into parts, probes go to every part, and only fitting pairs come out
     left = hot_index.select("key", "a", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part")).join(a, "a")
     right = hot_probe.select("key", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(b, "b")
-    met = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & once & fits)
+    paired = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & once & fits)
     checked = cold.join(a, "a").join(b, "b").where(once & fits)
-    both = checked.select("a", "b", "la", "lb").union(met.select("a", "b", "la", "lb")).dropDuplicates(["a", "b"])
+    both = checked.select("a", "b", "la", "lb").union(paired.select("a", "b", "la", "lb")).dropDuplicates(["a", "b"])
     near = banded_edit_distance(F.col("la"), F.col("lb"), edits) <= edits
     return cut_lineage(both.where(near).select("a", "b"), "near-lines")
 
@@ -270,9 +280,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, **options) -> DataF
     joined = rows.join(choices, F.col("key").eqNullSafe(F.col("of")), "left")
     text = F.col("doc.text")
     removed = F.array_except(_eligible(text, min_chars), _numbers("kept_lines"))
-    numbered = F.transform(split_lines(text), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    gone = F.transform(removed, lambda i: F.struct(i.alias("i"), F.get(split_lines(text), i).alias("x")))
-    left = F.array_join(F.transform(F.array_except(numbered, gone), lambda t: t["x"]), "\n")
+
+    def without(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        gone = F.transform(removed, lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("x")))
+        return F.array_join(F.transform(F.array_except(numbered, gone), lambda t: t["x"]), "\n")
+
+    left = _let(split_lines(text), without)
     out = joined.select("doc", F.when(F.size(removed) == 0, text).otherwise(left).alias("left"))
     changed = {"text": F.col("left"), "n_chars": F.char_length("left").cast("long")}
     return out.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

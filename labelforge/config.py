@@ -9,8 +9,7 @@ from dataclasses import dataclass
 # Mining defaults: source dataset "nomic-ai/nomic-embed-unsupervised-data"
 # split "squad" (they form the source label, hence the pair ids),
 # bm25_top_k 1000, dense_top_k 1000, rrf_k 60,
-# candidates_per_query 10, embedding_batch_size 256, min_search_docs 100000,
-# write batch size 5000, retrieval method label "bm25+dense",
+# candidates_per_query 10, min_search_docs 100000, retrieval method label "bm25+dense",
 # source label "<dataset_name>/<split>".
 # BM25 Okapi constants: k1 1.5, b 0.75, epsilon 0.25.
 # Annotation service defaults: batch_default_size 100, batch_max_size 500,
@@ -28,9 +27,10 @@ class MiningConfig:
     dense_top_k: int = 1000
     rrf_k: int = 60
     candidates_per_query: int = 10
-    embedding_batch_size: int = 256
+    #: "exact" or "ivf". The mode is chosen here alone; no corpus size changes it.
+    search: str = "exact"
+    #: documents an IVF search looks at, about (sets how many cells are probed)
     min_search_docs: int = 100_000
-    write_batch_size: int = 5000
     retrieval_method: str = "bm25+dense"
     # BM25 Okapi
     k1: float = 1.5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions.time import ts_ntz
@@ -31,20 +31,26 @@ def expired_count(batches: DataFrame, as_of) -> DataFrame:
 def release(batches: DataFrame, releases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Early release of batches by their owners.
 
-    ``releases(batch_id, contributor_id)``. Outcome per request: ``not_found``,
-    ``forbidden`` (other owner), ``noop`` (already expired or completed) or
-    ``released`` (assigned -> expired). Returns ``(outcomes, new_batches)``.
-    Several requests for one batch: the owner's first request releases it.
+    ``releases(batch_id, contributor_id, requested_at)``. Outcome per request:
+    ``not_found``, ``forbidden`` (other owner), ``noop`` (already expired or
+    completed) or ``released`` (assigned -> expired). Returns ``(outcomes,
+    new_batches)``. The owner's first request, by ``requested_at``, releases a
+    batch; the owner's later ones find it expired (``noop``).
     """
     b = batches.select(
         F.col("id").alias("batch_id"), F.col("contributor_id").alias("owner_id"), F.col("status").alias("batch_status")
     )
-    outcomes = releases.join(b, "batch_id", "left").withColumn(
-        "outcome",
-        F.when(F.col("owner_id").isNull(), "not_found")
-        .when(F.col("owner_id") != F.col("contributor_id"), "forbidden")
-        .when(F.col("batch_status") != "assigned", "noop")
-        .otherwise("released"),
+    turn = F.row_number().over(Window.partitionBy("batch_id", "contributor_id").orderBy("requested_at"))
+    outcomes = (
+        releases.join(b, "batch_id", "left")
+        .withColumn("turn", turn)
+        .withColumn(
+            "outcome",
+            F.when(F.col("owner_id").isNull(), "not_found")
+            .when(F.col("owner_id") != F.col("contributor_id"), "forbidden")
+            .when((F.col("batch_status") != "assigned") | (F.col("turn") > 1), "noop")
+            .otherwise("released"),
+        )
     )
     released = outcomes.where(F.col("outcome") == "released").select(F.col("batch_id").alias("id")).distinct()
     new_batches = (
@@ -52,4 +58,4 @@ def release(batches: DataFrame, releases: DataFrame) -> tuple[DataFrame, DataFra
         .withColumn("status", F.when(F.col("rel"), F.lit("expired")).otherwise(F.col("status")))
         .drop("rel")
     )
-    return outcomes.drop("owner_id", "batch_status"), new_batches
+    return outcomes.drop("owner_id", "batch_status", "turn"), new_batches

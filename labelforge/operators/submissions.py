@@ -7,7 +7,7 @@ raw_response_hash, submitted_at)``; ``flatten`` turns the nested form (header +
 
 Per submission, in this order:
 
-1. labels outside 0..3 reject the whole submission (``invalid_label``);
+1. a null label or one outside 0..3 rejects the whole submission (``invalid_label``);
 2. batch gate: ``not_found`` -> ``forbidden`` (other owner) -> ``replay``
    (batch completed: the result is rebuilt from stored annotations) ->
    ``invalid_status`` (not assigned) -> ``ok``; overdue but unswept assigned
@@ -18,9 +18,10 @@ Per submission, in this order:
 4. a batch is completed by its first submission with at least one accepted
    row; later submissions of that batch in the same run are replays.
 
-Run order is ``(submitted_at, submission_id)``. Assigned batches are
-pair-disjoint (claims guarantee it), so a (pair, contributor) key only meets
-itself inside one batch; a cross-batch repeat is still resolved first-wins.
+Run order is ``(submitted_at, submission_id)``. A (pair, contributor) key may
+stand in several batches: the first in run order wins it, and a submission that
+loses all its rows that way accepts nothing and completes nothing, so the next
+submission of its batch gets its turn (``_losers``).
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.operators.running import running_sums
+from labelforge.session import cut_lineage
 
 ROW_FIELDS = (
     "pair_id",
@@ -86,7 +88,7 @@ def gate(subs: DataFrame, batches: DataFrame) -> DataFrame:
         F.max("contributor_id").alias("contributor_id"),
         F.max("submitted_at").alias("submitted_at"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(~F.col("label").between(0, 3)).alias("bad_labels"),
+        F.count_if(~F.coalesce(F.col("label").between(0, 3), F.lit(False))).alias("bad_labels"),
     )
     b = batches.select(
         F.col("id").alias("batch_id"), F.col("contributor_id").alias("owner_id"), F.col("status").alias("batch_status")
@@ -107,6 +109,47 @@ def gate(subs: DataFrame, batches: DataFrame) -> DataFrame:
     )
 
 
+def _losers(rows: DataFrame) -> DataFrame:
+    """``submission_id`` of submissions whose every candidate row is won by earlier submissions.
+
+    ``rows``: candidate rows (submission_id, batch_id, submitted_at, pair_id,
+    contributor_id, pos). Only completing submissions win keys, and a batch's
+    first one that wins any completes it. Each round lets the first submission
+    of every batch that hasn't lost yet compete and marks those that win
+    nothing. A loser held no key, so striking it out takes no key from anybody;
+    the submission that takes its place only adds competition: a loser stays one,
+    and rounds end after at most as many as a batch has submissions.
+
+    Only submissions all of whose rows are contested can lose; the rest of a
+    round's rows matter as rivals. Without contested keys there is no round.
+    """
+    key = ["pair_id", "contributor_id"]
+    shared = rows.groupBy(*key).agg(F.count_distinct("submission_id").alias("n")).where("n > 1").select(*key)
+    marked = rows.join(shared.withColumn("contested", F.lit(True)), key, "left")
+    at_risk = marked.groupBy("submission_id", "batch_id").agg(F.count_if(F.col("contested").isNull()).alias("free"))
+    at_risk = at_risk.where("free = 0").select("submission_id", "batch_id")
+    # the batches at risk and every batch that shares a key with them, rows of contested keys only
+    contested = cut_lineage(marked.where("contested").drop("contested"), "contested-rows")
+    risky = cut_lineage(at_risk, "submissions-at-risk")
+    if risky.isEmpty():
+        return risky.select("submission_id")
+    order = [F.col("submitted_at"), F.col("submission_id")]
+    turns = rows.select("submission_id", "batch_id", "submitted_at").distinct()
+    turns = cut_lineage(turns.join(contested.select("batch_id").distinct(), "batch_id", "left_semi"), "contested-turns")
+    lost = risky.limit(0).select("submission_id")
+    while True:
+        left = turns.join(lost, "submission_id", "left_anti")
+        first = left.withColumn("turn", F.row_number().over(Window.partitionBy("batch_id").orderBy(*order))).where("turn = 1")
+        run = contested.join(first.select("submission_id"), "submission_id", "left_semi")
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(*order, F.col("pos")))
+        winners = run.withColumn("place", place).where("place = 1").select("submission_id").distinct()
+        struck = first.join(risky, "submission_id", "left_semi").join(winners, "submission_id", "left_anti")
+        struck = cut_lineage(struck.select("submission_id"), "losing-submissions")
+        if struck.isEmpty():
+            return lost
+        lost = cut_lineage(lost.union(struck), "lost-submissions")
+
+
 def process(
     subs: DataFrame,
     batches: DataFrame,
@@ -124,8 +167,6 @@ def process(
     to the shared checkpoint folder and every output reads them (use it when
     several outputs are written; a single output is cheaper lazily).
     """
-    from labelforge.session import cut_lineage
-
     g = gate(subs, batches)
     if materialize:
         g = cut_lineage(g, "sub-gate")
@@ -148,8 +189,13 @@ def process(
         .when(F.col("exists").isNotNull(), "conflict"),
     ).drop("dup", "in_batch", "exists")
 
-    # step 4: first submission with a candidate row completes the batch
-    cand = rows.groupBy("submission_id").agg(F.count_if(F.col("reason").isNull()).alias("n_cand"))
+    # step 4: the first submission that wins a row completes the batch
+    lost = _losers(
+        rows.where(F.col("reason").isNull()).select(
+            "submission_id", "batch_id", "submitted_at", "pair_id", "contributor_id", "pos"
+        )
+    )
+    cand = rows.join(lost, "submission_id", "left_anti").groupBy("submission_id").agg(F.count_if(F.col("reason").isNull()).alias("n_cand"))
     per_sub = g.join(cand, "submission_id", "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
     key = F.struct("submitted_at", "submission_id")
     per_sub = per_sub.withColumn(
@@ -167,7 +213,6 @@ def process(
 
     if materialize:
         per_sub = cut_lineage(per_sub, "sub-outcome")
-    completing = per_sub.where("completes").select("submission_id")
     rows = rows.join(per_sub.select("submission_id", "outcome", "completes"), "submission_id")
     rows = rows.withColumn(
         "reason", F.when(F.col("outcome") == "replay", F.lit("replay")).otherwise(F.col("reason"))
@@ -185,7 +230,6 @@ def process(
         .join(hp, "pair_id", "left")
         .withColumn("is_honeypot", F.col("known_label").isNotNull())
     )
-    del completing
 
     # running annotation count per pair -> pairs_verified per submission
     stored_n = annotations.groupBy("pair_id").agg(F.count(F.lit(1)).alias("stored_n"))

@@ -201,13 +201,34 @@ rows0 AS (
   LEFT JOIN bp_v bp ON bp.batch_id = r.batch_id AND bp.pair_id = r.pair_id
   LEFT JOIN (SELECT DISTINCT pair_id, contributor_id FROM ann_v) st
          ON st.pair_id = r.pair_id AND st.contributor_id = r.contributor_id),
-per_sub0 AS (
-  SELECT g.*, coalesce(c.n_cand, 0) AS n_cand
-  FROM gate g LEFT JOIN (SELECT submission_id, count_if(reason IS NULL)::BIGINT AS n_cand FROM rows0 GROUP BY 1) c
-       USING (submission_id)),
+per_sub0 AS (SELECT * FROM gate),
+cand AS (SELECT submission_id, batch_id, submitted_at, pair_id::VARCHAR || '/' || contributor_id::VARCHAR AS k
+         FROM rows0 WHERE reason IS NULL),
+shared AS (SELECT k FROM cand GROUP BY k HAVING count(DISTINCT submission_id) > 1),
+line AS (
+  -- submissions of batches that hold a contested key, one after the other
+  SELECT submission_id, batch_id, row_number() OVER (ORDER BY min(submitted_at), submission_id) AS turn,
+         count_if(k NOT IN (SELECT k FROM shared))::BIGINT AS free,
+         list(k) FILTER (k IN (SELECT k FROM shared)) AS keys
+  FROM cand WHERE batch_id IN (SELECT batch_id FROM cand WHERE k IN (SELECT k FROM shared))
+  GROUP BY submission_id, batch_id, submitted_at),
+serial AS (
+  -- the rule as it is served: a submission to a completed batch is a replay; else it takes the keys not taken yet
+  SELECT 0::BIGINT AS turn, NULL::BIGINT AS completed, []::BIGINT[] AS done, []::VARCHAR[] AS taken
+  UNION ALL
+  SELECT l.turn,
+         CASE WHEN won THEN l.submission_id END,
+         CASE WHEN won THEN list_append(s.done, l.batch_id::BIGINT) ELSE s.done END,
+         CASE WHEN won THEN list_concat(s.taken, coalesce(l.keys, [])) ELSE s.taken END
+  FROM serial s JOIN line l ON l.turn = s.turn + 1,
+       LATERAL (SELECT NOT list_contains(s.done, l.batch_id::BIGINT)
+                       AND l.free + len(list_filter(coalesce(l.keys, []), lambda x: NOT list_contains(s.taken, x))) > 0 AS won)),
 completer AS (
-  SELECT batch_id, submitted_at AS c_ts, submission_id AS c_sid FROM per_sub0
-  WHERE gate = 'ok' AND n_cand > 0
+  SELECT l.batch_id, g.submitted_at AS c_ts, l.submission_id AS c_sid
+  FROM serial s JOIN line l ON l.submission_id = s.completed JOIN gate g ON g.submission_id = l.submission_id
+  UNION ALL
+  SELECT batch_id, submitted_at, submission_id FROM (SELECT DISTINCT batch_id, submitted_at, submission_id FROM cand)
+  WHERE batch_id NOT IN (SELECT batch_id FROM line)
   QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY submitted_at, submission_id) = 1),
 per_sub AS (
   SELECT p.*,
@@ -262,7 +283,7 @@ res AS (
 
 
 def _with(*blocks: str) -> str:
-    return "WITH " + ",\n".join(blocks) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(blocks) + "\n"
 
 
 ANN = _with(ANN_BASE)
@@ -290,7 +311,7 @@ reg_take AS (
   SELECT pair_id, 'regular' AS pool FROM reg
   QUALIFY row_number() OVER (ORDER BY same_family, created_at, pair_id) <= 100 - (SELECT count(*) FROM hp_take)),
 chosen AS (
-  SELECT c.pair_id, c.pool, 'claim-' || (SELECT cid FROM req)::VARCHAR AS batch_id
+  SELECT c.pair_id, c.pool, {uuid5_sql("'claim|' || (SELECT cid FROM req)::VARCHAR || '|first'")} AS batch_id
   FROM (SELECT * FROM hp_take UNION ALL SELECT * FROM reg_take) c),
 plan AS (
   SELECT c.batch_id, c.pair_id, p.query_text, p.doc_text, p.source_dataset, false AS is_honeypot, c.pool,
@@ -338,10 +359,7 @@ SELECT query_ord, doc_id, bm25_rank, dense_rank, fused_rank::INTEGER AS fused_ra
     + f""", nd AS (SELECT count(*) AS n FROM c_docs), nq AS (SELECT count(*) AS n FROM c_queries),
 pl AS (SELECT {_nlist('(SELECT n FROM nd)')}::INTEGER AS nlist)
 SELECT (SELECT n FROM nd) AS unique_docs, (SELECT n FROM nq) AS queries, (SELECT n FROM nq) * 10 AS max_pairs,
-       (SELECT nlist FROM pl) AS nlist,
-       (CASE WHEN (SELECT n FROM nd) <= 100000 THEN (SELECT nlist FROM pl)
-             ELSE greatest(1, least((SELECT nlist FROM pl),
-                  floor(100000 / ((SELECT n FROM nd) / (SELECT nlist FROM pl)))::BIGINT)) END)::INTEGER AS nprobe,
+       'exact' AS search, (SELECT nlist FROM pl) AS nlist, (SELECT nlist FROM pl) AS nprobe,
        100.0::DOUBLE AS pct_searched,
        (SELECT count(*) FROM mined) AS pairs_produced,
        round((SELECT count(*) FROM mined) / greatest((SELECT n FROM nq), 1), 6) AS avg_pairs_per_query""",
@@ -370,12 +388,16 @@ WHERE p.status = 'unlabeled' AND EXISTS (SELECT 1 FROM hp_v h WHERE h.pair_id =
        (SELECT now FROM as_of) AS assigned_at, (SELECT now FROM as_of) + INTERVAL 24 HOURS AS expires_at
 FROM plan GROUP BY batch_id""",
     "release_batches": ANN
-    + """, reqs AS (SELECT id AS batch_id, contributor_id FROM batches_v
-             UNION ALL SELECT id, contributor_id + 1 FROM batches_v
-             UNION ALL SELECT id + 500, contributor_id FROM batches_v)
-SELECT r.batch_id, r.contributor_id,
+    + """, reqs AS (SELECT id AS batch_id, contributor_id + 1 AS contributor_id, 1 AS requested_at FROM batches_v
+             UNION ALL SELECT id, contributor_id, 2 FROM batches_v
+             UNION ALL SELECT id, contributor_id, 3 FROM batches_v
+             UNION ALL SELECT id + 500, contributor_id, 4 FROM batches_v)
+SELECT r.batch_id, r.contributor_id, r.requested_at,
        CASE WHEN b.id IS NULL THEN 'not_found' WHEN b.contributor_id <> r.contributor_id THEN 'forbidden'
-            WHEN b.status <> 'assigned' THEN 'noop' ELSE 'released' END AS outcome
+            WHEN b.status <> 'assigned' THEN 'noop'
+            WHEN EXISTS (SELECT 1 FROM reqs e WHERE e.batch_id = r.batch_id AND e.contributor_id = r.contributor_id
+                                              AND e.requested_at < r.requested_at) THEN 'noop'
+            ELSE 'released' END AS outcome
 FROM reqs r LEFT JOIN batches_v b ON b.id = r.batch_id""",
     "expire_batches": ANN
     + """SELECT id, CASE WHEN status = 'assigned' AND expires_at < (SELECT now FROM as_of) THEN 'expired' ELSE status END AS status,
@@ -417,6 +439,24 @@ FROM res""",
        (c.total_output_tokens + coalesce(d.o, 0))::BIGINT AS total_output_tokens
 FROM contrib_v c LEFT JOIN (SELECT contributor_id, count(*) AS n, sum(input_tokens) AS i, sum(output_tokens) AS o
                             FROM accepted GROUP BY 1) d ON d.contributor_id = c.id""",
+    "batches_after_run": RUN
+    + """SELECT b.id, b.contributor_id, CASE WHEN p.batch_id IS NOT NULL THEN 'completed' ELSE b.status END AS status,
+       p.submitted_at AS completed_at
+FROM batches_v b LEFT JOIN (SELECT batch_id, submitted_at FROM per_sub WHERE completes) p ON p.batch_id = b.id""",
+    "pairs_after_run": RUN
+    + """, votes AS (SELECT pair_id, count(*) AS n, count_if(label >= 2)::BIGINT AS r FROM new_ann GROUP BY 1),
+touched AS (SELECT DISTINCT pair_id FROM accepted WHERE NOT is_honeypot)
+SELECT p.id, p.required_annotations,
+       CASE WHEN t.pair_id IS NULL OR v.n < p.required_annotations THEN p.status
+            WHEN 2 * v.r = v.n THEN 'rejected' ELSE 'verified' END AS status
+FROM pairs_v p LEFT JOIN touched t ON t.pair_id = p.id LEFT JOIN votes v ON v.pair_id = p.id""",
+    "annotations_after_run": RUN
+    + """SELECT pair_id, contributor_id, batch_id, label, model_id, quantization, input_tokens, output_tokens,
+       raw_response_hash, is_honeypot, created_at FROM ann_v
+UNION ALL
+SELECT pair_id, contributor_id, batch_id, label, model_id, quantization, input_tokens, output_tokens,
+       raw_response_hash, is_honeypot, submitted_at FROM accepted""",
+    "batch_links": PLAN + "SELECT batch_id, pair_id FROM plan",
     "replay_results": ANN
     + """SELECT a.batch_id, a.contributor_id, count(*) AS accepted, 0::BIGINT AS rejected,
        avg(CASE WHEN h.pair_id IS NOT NULL THEN (h.known_label::INTEGER = a.label::INTEGER)::INTEGER::DOUBLE END)
@@ -471,6 +511,36 @@ SELECT 'annotations', count(*), count_if(label BETWEEN 0 AND 3 AND model_id IS N
                                          AND output_tokens IS NOT NULL AND created_at IS NOT NULL)::BIGINT FROM ann_v""",
 }
 
+# Probing every cell equals the exact search.
+_SQL["mine_pairs_ivf"] = _SQL["mine_pairs"]
+_SQL["dense_top10"] = _SQL["dense_topk_exact"].replace("rank <= 1000", "rank <= 10")
+_SQL["ivf_topk"] = _SQL["dense_top10"]
+_SQL["bm25_top50"] = f"{DOCS_BENCH},\n{bm25_blocks(50)}\nSELECT query_ord, doc_id, rank::INTEGER AS rank, score FROM bm"
+_SQL["insert_ignore_stored"] = MINE_CONV + """, offered AS (
+  SELECT pair_id, source_rank, query_ord FROM mined UNION ALL SELECT pair_id, source_rank, query_ord + 1000000000000 FROM mined),
+fresh AS (
+  SELECT * FROM offered WHERE pair_id NOT IN (SELECT pair_id FROM mined WHERE source_rank % 2 = 0)
+  QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY query_ord) = 1)
+SELECT pair_id AS id, source_rank, 'unlabeled' AS status, (SELECT count(*) FROM offered) AS attempted,
+       (SELECT count(*) FROM fresh) AS inserted
+FROM fresh"""
+# Streams: the batch rule over all rows.
+_SQL["stream_submissions"] = _SQL["submission_results"]
+_SQL["stream_mining"] = MINE_CONV + """SELECT pair_id AS id, query_text, doc_id, doc_text, source_dataset, retrieval_method, source_rank,
+       'unlabeled' AS status
+FROM mined QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY query_ord) = 1"""
+_SQL["stream_activity"] = """WITH seen AS (
+  SELECT date_trunc('hour', ts)::TIMESTAMP - to_hours(n::BIGINT) AS window_start, user_id
+  FROM events, range(24) hours(n))
+SELECT window_start, window_start + INTERVAL 24 HOURS AS window_end, count(DISTINCT user_id) AS active, count(*) AS events
+FROM seen GROUP BY 1"""
+# Every batch that was closed leaves with its end; an open one expires once an event after its deadline was seen.
+_SQL["stream_expiry"] = ANN + """, last AS (
+  SELECT max(assigned_at + CASE WHEN status = 'assigned' THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END) AS ts FROM batches_v)
+SELECT id AS batch_id, CASE status WHEN 'assigned' THEN 'expired' WHEN 'completed' THEN 'completed' ELSE 'released' END AS status,
+       expires_at
+FROM batches_v WHERE status <> 'assigned' OR expires_at < (SELECT ts FROM last)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

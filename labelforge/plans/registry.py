@@ -7,9 +7,10 @@ holds the equivalent DuckDB SQL for each name that has one.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge import schemas
@@ -28,6 +29,7 @@ CONV_CFG = MiningConfig(dataset_name="driver", split="conversations")
 DOCS_CFG = MiningConfig(dataset_name="driver", split="documents")
 ENCODER = HashedBagOfWords(256)
 CLAIM_SIZE = 100
+CLAIM_REQUEST = "first"
 CLAIM_MODEL = "Qwen/Qwen2.5-7B-Instruct-AWQ"
 
 
@@ -146,7 +148,7 @@ def q_mine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_mining_metrics(spark: SparkSession, sf: str) -> DataFrame:
     run = _conv_run(spark, sf)
-    return candidates.mining_metrics(run.corpus, run.pairs, CONV_CFG.candidates_per_query, run.nlist, run.nprobe)
+    return candidates.mining_metrics(run.corpus, run.pairs, CONV_CFG.candidates_per_query, run.plan)
 
 
 def q_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,27 +161,48 @@ def q_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_ivf_cells(spark: SparkSession, sf: str) -> DataFrame:
     vecs = driver.embedding_vectors(spark, sf)
-    n = vecs.count()
-    index = ivf.build(vecs, ivf.compute_nlist(n))
+    index = ivf.build(vecs, ivf.ProbePlan.sized(vecs.count(), "ivf").cells)
     return index.vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def q_ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell probed: the routed search must equal the exact one."""
     vecs = driver.embedding_vectors(spark, sf)
-    n = vecs.count()
-    nl = ivf.compute_nlist(n)
-    index = ivf.build(vecs, nl)
+    plan = ivf.ProbePlan.sized(vecs.count(), "ivf")
+    index = ivf.build(vecs, plan.cells)
     q = vecs.select(F.col("first_ord").alias("query_ord"), "embedding")
-    # probe a quarter of the cells: the approximate branch of the probe plan
-    return ivf.search(index, q, 10, max(1, nl // 4)).select("query_ord", "doc_id", "rank", "score")
+    return ivf.search(index, q, 10, plan.cells, doc_block=64, query_block=64).select("query_ord", "doc_id", "rank", "score")
+
+
+def q_mine_pairs_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """Mining in IVF mode with a budget that probes every cell: the same pairs as the exact mode."""
+    cfg = dataclasses.replace(CONV_CFG, search="ivf", min_search_docs=2**62)
+    p = candidates.mine_pairs(driver.conversation_rows(spark, sf), cfg, ENCODER).pairs
+    return p.select(*candidates.PAIR_COLUMNS, "query_ord", "rrf_score", "bm25_rank", "dense_rank")
+
+
+def q_bm25_top50(spark: SparkSession, sf: str) -> DataFrame:
+    return _bm25_bench(spark, sf, 50).select("query_ord", "doc_id", "rank", "score")
+
+
+def q_dense_top10(spark: SparkSession, sf: str) -> DataFrame:
+    return _dense_self(spark, sf, 10).select("query_ord", "doc_id", "rank", "score")
+
+
+def q_insert_ignore_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert into a table that holds the pairs of every even source rank already; the load holds every pair twice."""
+    pairs = cut_lineage(_conv_run(spark, sf).pairs, "mined")
+    stored = pairs.where(F.col("source_rank") % 2 == 0).select(F.col("pair_id").alias("id")).distinct()
+    again = pairs.withColumn("query_ord", F.col("query_ord") + 10**12)
+    res = sink.pairs_insert(pairs.unionByName(again), stored)
+    return res.rows.select("id", "source_rank", "status", res.attempted.alias("attempted"), res.inserted.alias("inserted"))
 
 
 # --------------------------------------------------------------------------- planning
 
 
 def _tables(spark, sf):
-    """The annotation tables derived from the driver data, each derived once and
-    read back as a stored table (as they would be in a deployment)."""
+    """The annotation tables derived from the driver data."""
     return dict(
         pairs=driver.pairs(spark, sf),
         annotations=driver.annotations(spark, sf),
@@ -213,7 +236,7 @@ def _plan(spark, sf):
     t = _tables(spark, sf)
     cid = _claimant(t["annotations"])
     return planning.plan_batch(
-        t["pairs"], t["annotations"], t["batch_pairs"], t["batches"], t["honeypots"], cid, CLAIM_SIZE, CLAIM_MODEL
+        t["pairs"], t["annotations"], t["batch_pairs"], t["batches"], t["honeypots"], cid, CLAIM_SIZE, CLAIM_MODEL, request_id=CLAIM_REQUEST
     ), cid
 
 
@@ -228,14 +251,22 @@ def q_batch_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_release_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Per batch: a stranger's request, two of the owner's, one for a batch that doesn't exist."""
     b = driver.batches(spark, sf)
-    reqs = (
-        b.select(F.col("id").alias("batch_id"), "contributor_id")
-        .unionByName(b.select(F.col("id").alias("batch_id"), (F.col("contributor_id") + 1).alias("contributor_id")))
-        .unionByName(b.select((F.col("id") + 500).alias("batch_id"), "contributor_id"))
-    )
+    own, none = F.col("contributor_id"), F.col("id") + 500
+    asks = [(F.col("id"), own + 1, 1), (F.col("id"), own, 2), (F.col("id"), own, 3), (none, own, 4)]
+    reqs = b.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(i.alias("batch_id"), c.alias("contributor_id"), F.lit(n).alias("requested_at"))
+                    for i, c, n in asks
+                ]
+            )
+        ).alias("r")
+    ).select("r.*")
     outcomes, _ = lifecycle.release(b, reqs)
-    return outcomes.select("batch_id", "contributor_id", "outcome")
+    return outcomes.select("batch_id", "contributor_id", "requested_at", "outcome")
 
 
 def q_expire_batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,6 +339,26 @@ def q_contributor_totals(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("id", "total_annotations", "total_input_tokens", "total_output_tokens")
 
 
+def q_batches_after_run(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(spark, sf).batches.select("id", "contributor_id", "status", "completed_at")
+
+
+def q_pairs_after_run(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(spark, sf).pairs.select("id", "status", "required_annotations")
+
+
+def q_annotations_after_run(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(spark, sf).annotations.select(
+        "pair_id", "contributor_id", "batch_id", "label", "model_id", "quantization", "input_tokens", "output_tokens",
+        "raw_response_hash", "is_honeypot", "created_at",
+    )
+
+
+def q_batch_links(spark: SparkSession, sf: str) -> DataFrame:
+    chosen, cid = _plan(spark, sf)
+    return planning.batch_rows(chosen, cid, driver.as_of(spark, sf))[1]
+
+
 def q_replay_results(spark: SparkSession, sf: str) -> DataFrame:
     ann = driver.annotations(spark, sf)
     contrib = reports.contributor_totals(driver.contributors_base(spark, sf), ann)
@@ -390,6 +441,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insert_ignore": q_insert_ignore,
     "ivf_cells": q_ivf_cells,
     "ivf_topk": q_ivf_topk,
+    "mine_pairs_ivf": q_mine_pairs_ivf,
+    "bm25_top50": q_bm25_top50,
+    "dense_top10": q_dense_top10,
+    "insert_ignore_stored": q_insert_ignore_stored,
     "claimable_pairs": q_claimable_pairs,
     "honeypot_pool": q_honeypot_pool,
     "family_excluded": q_family_excluded,
@@ -405,6 +460,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accept_annotations": q_accept_annotations,
     "submission_results": q_submission_results,
     "contributor_totals": q_contributor_totals,
+    "batches_after_run": q_batches_after_run,
+    "pairs_after_run": q_pairs_after_run,
+    "annotations_after_run": q_annotations_after_run,
+    "batch_links": q_batch_links,
     "replay_results": q_replay_results,
     "stats": q_stats,
     "leaderboard": q_leaderboard,

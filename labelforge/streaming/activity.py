@@ -1,40 +1,68 @@
 """Rolling activity over an event stream (T2).
 
-Sliding 24-hour windows advanced hourly, with a watermark: an event later than
-the watermark is dropped (a rule the batch report does not have). Distinct
-counts in streaming aggregations are approximate (HyperLogLog++), the batch
-report (``operators.reports.stats``) is the exact form.
+Sliding 24-hour windows advanced hourly. The stream keeps one counter per
+(window, key), so state is spread over keys and a popular window is no hot
+group. After every micro-batch the changed counters go to a log partitioned by
+epoch; ``report`` takes the latest counter per (window, key), which gives exact
+distinct counts at any time, for windows that are still open as well. An event
+later than the watermark is dropped (a rule the batch report does not have).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelforge.sources.sink import read_table
 
-def rolling_active(
+LOG_SCHEMA = "window_start timestamp, window_end timestamp, key string, events long, epoch long"
+
+
+def rolling_counts(
     events: DataFrame,
     ts_col: str,
     key_col: str,
     window: str = "24 hours",
     slide: str = "1 hour",
     watermark: str = "1 hour",
-    rsd: float = 0.01,
 ) -> DataFrame:
-    """``(window_start, window_end, active, events)`` per sliding window.
-
-    ``events`` may be a streaming or a batch frame. Event time is cast to
-    ``timestamp`` (watermarks need it; sessions run in UTC).
-    """
+    """``(window_start, window_end, key, events)`` per sliding window and key; null keys are counted as a key."""
     ev = events.withColumn("_et", F.col(ts_col).cast("timestamp"))
     if events.isStreaming:
         ev = ev.withWatermark("_et", watermark)
-    agg = ev.groupBy(F.window("_et", window, slide).alias("w")).agg(
-        F.approx_count_distinct(key_col, rsd).alias("active"), F.count(F.lit(1)).alias("events")
+    agg = ev.groupBy(F.window("_et", window, slide).alias("w"), F.col(key_col).cast("string").alias("key")).agg(
+        F.count(F.lit(1)).alias("events")
     )
-    return agg.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "key", "events")
+
+
+def start(counts: DataFrame, log_path: str, checkpoint: str):
+    """Write the changed counters of every micro-batch to its epoch of the log."""
+
+    def write(changed: DataFrame, epoch_id: int) -> None:
+        (
+            changed.withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("epoch")
+            .parquet(log_path)
+        )
+
+    w = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return w.trigger(availableNow=True).start()
+
+
+def report(spark: SparkSession, log_path: str) -> DataFrame:
+    """``(window_start, window_end, active, events)``: exact counts per window from the log."""
+    log = read_table(spark, log_path, LOG_SCHEMA)
+    if log is None:
+        log = spark.createDataFrame([], LOG_SCHEMA)
+    latest = log.groupBy("window_start", "window_end", "key").agg(F.max_by("events", "epoch").alias("events"))
+    return latest.groupBy("window_start", "window_end").agg(
+        F.count("key").alias("active"), F.sum("events").alias("events")
+    ).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
         "active",
         "events",
     )

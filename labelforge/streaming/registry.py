@@ -1,16 +1,17 @@
-"""Streaming queries registered next to the batch ones (rows-only checks).
-
-Each one derives an input stream from the driver tables (written by Spark as
-parquet files into a fresh folder under the shared checkpoint folder, one
-write per time slice so the file source replays them in event order), runs
-the Structured Streaming operator to completion (``availableNow`` or
-``processAllAvailable``) and returns the sink table as a DataFrame.
+"""Streaming queries registered next to the batch ones.
+
+Each one derives an input stream from the driver tables: time slices, written by
+Spark into a fresh folder under the shared checkpoint folder. After each slice
+the Structured Streaming operator runs over what is new (``availableNow`` with
+one checkpoint, so a slice is one micro-batch however many files it has), and
+the sink table is returned as a DataFrame. The batch rule over the same rows is
+the oracle of each.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,44 +20,45 @@ from labelforge.operators import reports
 from labelforge.session import checkpoint_dir, cut_lineage
 from labelforge.sources import driver
 from labelforge.sources.corpus import build_corpus
+from labelforge.sources.sink import read_table
 from labelforge.streaming import activity, expiry, mining
 from labelforge.streaming import submissions as sub_stream
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _slices(df: DataFrame, path: str, ts_col: str, n: int = 3) -> None:
-    """Write ``df`` as ``n`` consecutive time slices (separate jobs -> ordered files)."""
-    bounds = df.select(F.percentile_approx(ts_col, [i / n for i in range(1, n)]).alias("b")).first()["b"]
+def _slices(df: DataFrame, ts_col: str, n: int = 3) -> Iterator[DataFrame]:
+    """``n`` consecutive time slices of ``df``; rows without a time come first."""
+    bounds = df.select(F.percentile_approx(ts_col, [i / n for i in range(1, n)]).alias("b")).first()["b"] or []
     lo = None
-    for hi in list(bounds) + [None]:
+    for hi in [*bounds, None]:
         part = df
         if lo is not None:
             part = part.where(F.col(ts_col) > F.lit(lo))
         if hi is not None:
-            part = part.where(F.col(ts_col) <= F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(path)
+            inside = F.col(ts_col) <= F.lit(hi)
+            part = part.where(inside | F.col(ts_col).isNull() if lo is None else inside)
+        yield part
         lo = hi
 
 
+def _replay(df: DataFrame, ts_col: str, root: str, run: Callable[[DataFrame], object]) -> None:
+    """Append slice after slice to the stream's input folder and let ``run(stream)`` take each."""
+    spark = df.sparkSession
+    for part in _slices(df, ts_col):
+        part.write.mode("append").parquet(f"{root}/in")
+        run(spark.readStream.schema(df.schema).parquet(f"{root}/in")).awaitTermination()
+
+
 def q_stream_activity(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark, "activity")
     ev = driver.table(spark, sf, "events")
-    _slices(ev, f"{root}/in", "ts")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = activity.rolling_active(stream, "ts", "user_id", watermark="1 hour")
-    name = f"activity_{uuid.uuid4().hex[:8]}"
-    q = out.writeStream.outputMode("append").format("memory").queryName(name).option(
-        "checkpointLocation", f"{root}/ck"
-    ).start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name)
+    # a slice arrives in any order inside itself, so lateness is allowed for the whole stream
+    run = lambda s: activity.start(activity.rolling_counts(s, "ts", "user_id", watermark="3650 days"), f"{root}/log", f"{root}/ck")
+    _replay(ev, "ts", root, run)
+    return activity.report(spark, f"{root}/log")
 
 
 def _lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,23 +75,22 @@ def _lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark, "expiry")
-    ev = _lifecycle_events(spark, sf)
-    _slices(ev, f"{root}/in", "ts")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = expiry.expiry_stream(stream)
-    name = f"expiry_{uuid.uuid4().hex[:8]}"
-    q = out.writeStream.outputMode("append").format("memory").queryName(name).option(
-        "checkpointLocation", f"{root}/ck"
-    ).start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name)
+
+    def run(stream: DataFrame):
+        w = expiry.expiry_stream(stream).writeStream.outputMode("append").format("parquet")
+        w = w.option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
+        return w.trigger(availableNow=True).start()
+
+    _replay(_lifecycle_events(spark, sf), "ts", root, run)
+    out = read_table(spark, f"{root}/out", expiry.OUTPUT_SCHEMA)
+    if out is None:
+        out = spark.createDataFrame([], expiry.OUTPUT_SCHEMA)
+    return out.select("batch_id", "status", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 
 def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark, "submissions")
     subs = driver.run_submissions(spark, sf)
-    _slices(subs, f"{root}/in", "submitted_at")
     # the stored tables the stream runs against, derived once
     ann = cut_lineage(driver.annotations(spark, sf), "annotations")
     sink = sub_stream.SubmissionSink(
@@ -101,10 +102,11 @@ def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
         ann,
         cut_lineage(reports.contributor_totals(driver.contributors_base(spark, sf), ann), "contributors"),
     )
-    stream = spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    q = sub_stream.start(stream, sink, f"{root}/ck")
-    q.awaitTermination()
-    return sink.results(spark)
+    _replay(subs, "submitted_at", root, lambda stream: sub_stream.start(stream, sink, f"{root}/ck"))
+    return sink.results(spark).select(
+        "submission_id", "batch_id", "contributor_id", "outcome", "accepted", "rejected", "honeypot_accuracy",
+        "pairs_verified", "input_tokens", "output_tokens",
+    )
 
 
 def q_stream_mining(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,14 +114,14 @@ def q_stream_mining(spark: SparkSession, sf: str) -> DataFrame:
     corpus = build_corpus(driver.conversation_rows(spark, sf))
     qs = corpus.queries
     # arrival order = query ordinal (conversation id, turn)
-    _slices(qs.withColumn("arrival", F.col("query_ord").cast("double")), f"{root}/in", "arrival")
     from labelforge.plans.registry import CONV_CFG, ENCODER
 
     miner = mining.MiningStream(corpus.docs, f"{root}/pairs", CONV_CFG, ENCODER)
-    stream = spark.readStream.schema(qs.schema.add("arrival", "double")).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    q = mining.start(stream, miner, f"{root}/ck")
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/pairs")
+    arrivals = qs.withColumn("arrival", F.col("query_ord").cast("double"))
+    _replay(arrivals, "arrival", root, lambda stream: mining.start(stream, miner, f"{root}/ck"))
+    return spark.read.parquet(f"{root}/pairs").select(
+        F.col("pair_id").alias("id"), "query_text", "doc_id", "doc_text", "source_dataset", "retrieval_method", "source_rank", "status"
+    )
 
 
 STREAM_QUERIES = {

@@ -12,20 +12,18 @@ saw the first time and replaces its own partial output (exactly-once effects).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.operators import submissions as sub_ops
 from labelforge.operators.votes import apply_status
+from labelforge.sources.sink import read_table
 
 
 def _read(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     schema = schema + ", epoch long"
-    if os.path.exists(path):
-        df = spark.read.schema(schema).parquet(path)
-    else:
+    df = read_table(spark, path, schema)
+    if df is None:
         df = spark.createDataFrame([], schema)
     if before is not None:
         df = df.where(F.col("epoch") < before)
@@ -58,7 +56,7 @@ class SubmissionSink:
                          annotations=annotations, contributors=contributors)
 
     def _p(self, name: str) -> str:
-        return os.path.join(self.root, name)
+        return f"{self.root.rstrip('/')}/{name}"
 
     def current(self, spark: SparkSession, before: int | None = None) -> dict[str, DataFrame]:
         b = self.base
@@ -89,9 +87,17 @@ class SubmissionSink:
         return dict(pairs=pairs, batches=batches, batch_pairs=b["batch_pairs"], honeypots=b["honeypots"],
                     annotations=ann, contributors=contrib)
 
+    def touched(self, t: dict[str, DataFrame], micro: DataFrame) -> dict[str, DataFrame]:
+        """The state that a micro-batch can meet: its pairs' and its batches' annotations, nothing else of the history."""
+        pairs = micro.select("pair_id").distinct()
+        batches = micro.select("batch_id").distinct()
+        by_pair = t["annotations"].join(pairs, "pair_id", "left_semi")
+        by_batch = t["annotations"].join(batches, "batch_id", "left_semi").join(pairs, "pair_id", "left_anti")
+        return t | {"annotations": by_pair.unionByName(by_batch)}
+
     def process_batch(self, micro: DataFrame, epoch_id: int) -> None:
         spark = micro.sparkSession
-        t = self.current(spark, before=epoch_id)
+        t = self.touched(self.current(spark, before=epoch_id), micro)
         # five outputs share the decisions: materialise them once per micro-batch
         run = sub_ops.process(micro, t["batches"], t["batch_pairs"], t["honeypots"], t["annotations"],
                               t["contributors"], t["pairs"], materialize=True)

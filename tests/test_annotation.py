@@ -216,6 +216,39 @@ def test_zero_accept_submission_does_not_complete(spark):
     assert run.results.first().accepted == 0 and run.batches.first().status == "assigned"
 
 
+def test_null_label_rejects_the_submission(spark):
+    r = _process(spark, _subs(spark, [("p000", 2), ("p001", None)]), _world(spark)).results.first()
+    assert r.outcome == "invalid_label"
+
+
+def test_submission_that_loses_every_row_completes_nothing(spark):
+    """b1 wins both shared pairs; b2's first submission gets none, so its second one is not a replay."""
+    p, _, _, hp, contrib = _world(spark)
+    end = NOW + dt.timedelta(hours=24)
+    batches = spark.createDataFrame([(b, "c1", 3, "assigned", NOW, end, None) for b in ("b1", "b2")], BATCH_SCHEMA)
+    bp = spark.createDataFrame([(b, f"p{i:03d}") for b in ("b1", "b2") for i in range(4)], "batch_id string, pair_id string")
+    later = [NOW + dt.timedelta(minutes=m) for m in range(4)]
+    subs = (
+        _subs(spark, [("p000", 2), ("p001", 2)], sid="s1", batch="b1", ts=later[0])
+        .unionByName(_subs(spark, [("p000", 1), ("p001", 1)], sid="s2", batch="b2", ts=later[1]))
+        .unionByName(_subs(spark, [("p001", 1), ("p002", 1)], sid="s3", batch="b2", ts=later[2]))
+        .unionByName(_subs(spark, [("p003", 1)], sid="s4", batch="b2", ts=later[3]))
+    )
+    run = _process(spark, subs, (p, batches, bp, hp, contrib))
+    res = {r.submission_id: (r.outcome, r.accepted) for r in run.results.collect()}
+    assert res == {"s1": ("ok", 2), "s2": ("ok", 0), "s3": ("ok", 1), "s4": ("replay", 1)}
+    assert {r.id: r.status for r in run.batches.collect()} == {"b1": "completed", "b2": "completed"}
+
+
+def test_claims_of_one_contributor_have_their_own_ids(spark):
+    args = (pairs_df(spark), empty(spark, ANN_SCHEMA), empty(spark, "batch_id string, pair_id string"), empty(spark, BATCH_SCHEMA),
+            empty(spark, "pair_id string, known_label short, created_at timestamp_ntz"), "c1", 2)
+    ids = [planning.plan_batch(*args, request_id=r).first().batch_id for r in ("r1", "r1", "r2")]
+    assert ids[0] == ids[1] != ids[2]
+    with pytest.raises(ValueError):
+        planning.plan_batch(*args)
+
+
 # ------------------------------------------------------------------ lifecycle
 
 
@@ -233,10 +266,15 @@ def test_release_outcomes(spark):
     b = spark.createDataFrame(
         [("b1", "c1", 5, "assigned", NOW, NOW, None), ("b2", "c1", 5, "completed", NOW, NOW, None)], BATCH_SCHEMA
     )
-    reqs = spark.createDataFrame([("b1", "c2"), ("b1", "c1"), ("b2", "c1"), ("b9", "c1")], "batch_id string, contributor_id string")
+    reqs = spark.createDataFrame(
+        [("b1", "c2", 1), ("b1", "c1", 3), ("b1", "c1", 2), ("b2", "c1", 1), ("b9", "c1", 1)],
+        "batch_id string, contributor_id string, requested_at int",
+    )
     out, nb = lifecycle.release(b, reqs)
-    got = sorted((r.batch_id, r.contributor_id, r.outcome) for r in out.collect())
-    assert got == [("b1", "c1", "released"), ("b1", "c2", "forbidden"), ("b2", "c1", "noop"), ("b9", "c1", "not_found")]
+    got = sorted((r.batch_id, r.contributor_id, r.requested_at, r.outcome) for r in out.collect())
+    assert got == [
+        ("b1", "c1", 2, "released"), ("b1", "c1", 3, "noop"), ("b1", "c2", 1, "forbidden"), ("b2", "c1", 1, "noop"), ("b9", "c1", 1, "not_found")
+    ]
     assert {r.id: r.status for r in nb.collect()} == {"b1": "expired", "b2": "completed"}
 
 

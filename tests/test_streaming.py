@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from labelforge.operators import lifecycle
 from labelforge.plans import registry
 from labelforge.sources import driver
+from labelforge.sources import sink as sink_tables
+from labelforge.streaming import mining
 from labelforge.streaming import registry as streams
+from labelforge.streaming import submissions as sub_stream
 from tests.conftest import SF_SMALL
 
 COLS = ["submission_id", "outcome", "accepted", "rejected", "pairs_verified", "input_tokens", "output_tokens"]
@@ -29,11 +32,57 @@ def test_stream_expiry_matches_batch_expire(spark):
 
 
 def test_stream_mining_equals_batch(spark):
-    s = streams.q_stream_mining(spark, SF_SMALL).select("pair_id", "source_rank").toPandas()
-    b = registry.q_insert_ignore(spark, SF_SMALL).select(F.col("id").alias("pair_id"), "source_rank").toPandas()
+    s = streams.q_stream_mining(spark, SF_SMALL).select("id", "source_rank").toPandas()
+    b = registry.q_insert_ignore(spark, SF_SMALL).select("id", "source_rank").toPandas()
     assert sorted(map(tuple, s.values.tolist())) == sorted(map(tuple, b.values.tolist()))
 
 
 def test_stream_activity_windows(spark):
     out = streams.q_stream_activity(spark, SF_SMALL).toPandas()
-    assert len(out) > 0 and (out.active > 0).all()
+    assert len(out) > 0 and (out.active > 0).all() and not out.duplicated("window_start").any()
+
+
+def _uri_sink(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, "unlabeled", 2)], "id long, status string, required_annotations int")
+    batches = spark.createDataFrame([(7, 5, "assigned")], "id long, contributor_id long, status string").withColumn(
+        "completed_at", F.lit(None).cast("timestamp_ntz")
+    )
+    links = spark.createDataFrame([(7, 1)], "batch_id long, pair_id long")
+    honeypots = spark.createDataFrame([], "pair_id long, known_label short")
+    annotations = spark.createDataFrame([], sub_stream.ANN_SCHEMA)
+    contributors = spark.createDataFrame(
+        [(5, 0, 0, 0)], "id long, total_annotations int, total_input_tokens long, total_output_tokens long"
+    )
+    return sub_stream.SubmissionSink(f"file:{tmp_path}/tables", pairs, batches, links, honeypots, annotations, contributors)
+
+
+def test_submission_state_outlives_an_epoch_on_a_uri_path(spark, tmp_path):
+    """The second epoch must see the first one's completion: replay, no second annotation."""
+    sink = _uri_sink(spark, tmp_path)
+    micro = spark.createDataFrame(
+        [(1, 0, 7, 5, 1, 2, "m", "q", 10, 1, "h")],
+        "submission_id long, pos int, batch_id long, contributor_id long, pair_id long, label int, model_id string, "
+        "quantization string, input_tokens int, output_tokens int, raw_response_hash string",
+    ).withColumn("submitted_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    sink.process_batch(micro, 0)
+    sink.process_batch(micro.withColumn("submission_id", F.lit(2).cast("long")), 1)
+    got = {r.submission_id: r.outcome for r in sink.results(spark).collect()}
+    assert got == {1: "ok", 2: "replay"}
+    assert sink.current(spark)["annotations"].count() == 1
+
+
+def test_mined_pairs_outlive_an_epoch_on_a_uri_path(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", i, f"text {i} of a document") for i in range(4)], "doc_id string, first_ord long, doc_text string")
+    miner = mining.MiningStream(docs, f"file:{tmp_path}/pairs", registry.CONV_CFG, registry.ENCODER)
+    q = spark.createDataFrame([(0, "text 1", None)], "query_ord long, query_text string, positive_doc_id string")
+    for epoch in (0, 1):
+        miner.process_batch(q.withColumn("query_ord", F.lit(epoch).cast("long")), epoch)
+    stored = spark.read.parquet(f"file:{tmp_path}/pairs")
+    assert stored.count() == stored.select("pair_id").distinct().count() == 4
+
+
+def test_missing_table_reads_as_none_on_any_path(spark, tmp_path):
+    assert sink_tables.read_table(spark, f"file:{tmp_path}/nothing") is None
+    assert sink_tables.read_table(spark, f"{tmp_path}/nothing") is None
+    sink_tables.append_table(spark.range(3), f"file:{tmp_path}/t")
+    assert sink_tables.read_table(spark, f"file:{tmp_path}/t").count() == 3

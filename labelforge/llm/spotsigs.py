@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,15 +172,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     return pairs.where(F.col("likeness") >= threshold - 1e-12), members
 
 
+def _squeezed(text: Column) -> Column:
+    """Texts as they cross the shuffle: UTF-8, compressed one by one."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for texts in batches:
+            yield pd.Series([squeeze(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+    return run(text)
+
+
 def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come by bucket and place; each is compared with the row that follows it."""
     held = None  # (bucket, id, text, signatures) of the row whose next row is awaited
+    unsqueeze = zstandard.ZstdDecompressor().decompress
     columns = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     for batch in batches:
         out = []
-        for bucket, ahead, doc_id, text in batch[["bucket", "ahead", "id", "text"]].itertuples(index=False, name=None):
+        for bucket, ahead, doc_id, squeezed in batch[["bucket", "ahead", "id", "text"]].itertuples(index=False, name=None):
             if ahead and (held is None or held[0] != bucket):
                 continue  # the bucket's last row has met its next row already
+            text = unsqueeze(squeezed).decode("utf-8", "surrogatepass")
             found = signatures(text)
             if held is not None and held[0] == bucket:
                 out.append(_compare(held[1], held[2], held[3], text, found))
@@ -207,11 +222,11 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
 
     Defined cases: null texts are empty; an empty text has the empty fingerprint
     and likeness 1 to another empty one; rows that repeat an id follow each other
-    in order of text; null ids come last; a single row is its own next; other
+    in order of their text's hash; null ids come last; a single row is its own next; other
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", whole_text().alias("text"))
+    rows = docs.select("doc_id", _squeezed(whole_text()).alias("text"), F.xxhash64(whole_text()).alias("tie"))
     ids = docs.select("doc_id")
     width = parallelism(spark)
     points = [i / width for i in range(1, width)]
@@ -229,6 +244,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("string").alias("id"),
         "doc_id",
         "text",
+        "tie",
         F.explode(
             F.when(F.col("to_bucket").isNull(), F.array(F.struct("bucket", F.lit(False).alias("ahead")))).otherwise(
                 F.array(
@@ -239,9 +255,9 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
         ).alias("at"),
     )
     dealt = (
-        both.select("id", "doc_id", "text", F.col("at.bucket").alias("bucket"), F.col("at.ahead").alias("ahead"))
+        both.select("id", "doc_id", "text", "tie", F.col("at.bucket").alias("bucket"), F.col("at.ahead").alias("ahead"))
         .repartitionById(len(cuts) + 2, F.col("bucket"))
-        .sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text")
+        .sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "tie")
         .select("bucket", "ahead", "id", "text")
     )
     out = dealt.mapInPandas(

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,7 +11,8 @@ from tests.llm.data import LONG, PROSE, ROWS, awkward, empty, from_texts
 
 
 def brute(rows):
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    tie = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
     out = []
     for k, (i, text) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]

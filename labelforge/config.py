@@ -38,7 +38,6 @@ class MiningConfig:
     epsilon: float = 0.25
     # engine knobs (no effect on results)
     pad_bm25: bool = True
-    salt_postings: int = 4096
     query_block: int = 1024
     doc_block: int = 4096
 

@@ -12,15 +12,20 @@ WHITESPACE_CLASS = (
 )
 
 
+# Fixed value: the same characters, one by one.
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def tokenize(text: Column | str) -> Column:
     """Lower-case, split on Unicode whitespace runs, drop empty tokens.
 
     No stop words and no punctuation handling: ``"Paris."`` stays one token.
+    Every white-space character becomes a space first, so the split is on one
+    plain character.
     """
     c = F.col(text) if isinstance(text, str) else text
-    return F.array_remove(F.split(F.lower(c), WHITESPACE_CLASS), "")
-
-
-def tokenize_sql(text_sql: str) -> str:
-    """SQL form for DuckDB oracles (list of non-empty tokens)."""
-    return f"list_filter(regexp_split_to_array(lower({text_sql}), '{WHITESPACE_CLASS}'), x -> x <> '')"
+    spaced = F.translate(F.lower(c), WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
+    return F.array_remove(F.split(spaced, " "), "")

@@ -79,7 +79,7 @@ def q_bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bm25_bench(spark, sf, top_k=DOCS_CFG.bm25_top_k, corpus=None):
     corpus = corpus or _docs_corpus(spark, sf)
-    idx = bm25.build_index(corpus.docs, salt_postings=DOCS_CFG.salt_postings)
+    idx = bm25.build_index(corpus.docs)
     return bm25.retrieve(idx, driver.benchmark_queries(spark, sf), top_k)
 
 

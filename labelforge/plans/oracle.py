@@ -188,7 +188,7 @@ gate AS (
               ELSE 'ok' END AS gate
   FROM (SELECT submission_id, max(batch_id) AS batch_id, max(contributor_id) AS contributor_id,
                max(submitted_at) AS submitted_at, count(*) AS n_rows,
-               count_if(NOT (label BETWEEN 0 AND 3))::BIGINT AS bad_labels
+               count_if(label IS NULL OR NOT (label BETWEEN 0 AND 3))::BIGINT AS bad_labels
         FROM run_sub GROUP BY 1) h
   LEFT JOIN batches_v b ON b.id = h.batch_id),
 rows0 AS (
@@ -487,7 +487,7 @@ FROM contrib_v WHERE id IN (SELECT contributor_id FROM batches_v WHERE status =
   SELECT user_id AS github_id, 'user' || user_id::VARCHAR || '#' || event_id::VARCHAR AS github_username,
          props AS github_avatar_url, ts AS login_at
   FROM events WHERE event_type = 'signup'
-  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, github_username DESC) = 1)
 SELECT CASE WHEN c.github_id IS NULL THEN {uuid5_sql("'github' || '|' || n.github_id::VARCHAR")} ELSE c.id::VARCHAR END AS id,
        coalesce(c.github_id, n.github_id) AS github_id,
        coalesce(n.github_username, c.github_username) AS github_username,
@@ -511,6 +511,30 @@ SELECT 'annotations', count(*), count_if(label BETWEEN 0 AND 3 AND model_id IS N
                                          AND output_tokens IS NOT NULL AND created_at IS NOT NULL)::BIGINT FROM ann_v""",
 }
 
+# The same submissions with faults of every kind (see sources.driver.mixed_submissions).
+_RAW, _REST = RUN_BLOCKS.split("gate AS (", 1)
+RUN_MIXED = _with(ANN_BASE, _RAW.replace("run_sub AS (", "run_raw AS (", 1) + """run_sub AS (
+  SELECT submission_id, pos,
+         CASE WHEN submission_id % 11 = 2 THEN batch_id + 1000000000 ELSE batch_id END AS batch_id,
+         CASE WHEN submission_id % 11 = 1 THEN contributor_id + 1 ELSE contributor_id END AS contributor_id,
+         CASE WHEN submission_id % 11 = 5 AND pos = 0 THEN pair_id + 1000000000 ELSE pair_id END AS pair_id,
+         CASE WHEN submission_id % 11 = 3 AND pos = 0 THEN 7 WHEN submission_id % 11 = 4 AND pos = 0 THEN NULL
+              ELSE label END::SMALLINT AS label,
+         model_id, quantization, input_tokens, output_tokens, raw_response_hash, submitted_at
+  FROM run_raw
+  UNION ALL
+  SELECT submission_id, pos + 1000000, batch_id, contributor_id, pair_id, label, model_id, quantization, input_tokens,
+         output_tokens, raw_response_hash, submitted_at
+  FROM run_raw WHERE submission_id % 11 = 6 AND pos = 0),
+gate AS (""" + _REST)
+_SQL["accept_mixed"] = RUN_MIXED + _SQL["accept_annotations"][len(RUN):]
+_SQL["results_mixed"] = (
+    "SELECT submission_id, batch_id, contributor_id, outcome, accepted, rejected, input_tokens, output_tokens FROM ("
+    + RUN_MIXED + _SQL["submission_results"][len(RUN):] + ")"
+)
+_SQL["row_cap"] = f"""WITH {DOC_ROWS}
+SELECT substr(sha256(document), 1, 16) AS doc_id, min(ord) AS first_ord
+FROM (SELECT * FROM doc_rows ORDER BY ord LIMIT 150) GROUP BY 1"""
 # Probing every cell equals the exact search.
 _SQL["mine_pairs_ivf"] = _SQL["mine_pairs"]
 _SQL["dense_top10"] = _SQL["dense_topk_exact"].replace("rank <= 1000", "rank <= 10")

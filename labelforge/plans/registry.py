@@ -23,12 +23,13 @@ from labelforge.operators import bm25, candidates, dense, fusion, ivf, lifecycle
 from labelforge.operators.encoders import HashedBagOfWords
 from labelforge.sources import driver, sink
 from labelforge.session import cut_lineage
-from labelforge.sources.corpus import build_corpus
+from labelforge.sources.corpus import build_corpus, cap_rows
 
 CONV_CFG = MiningConfig(dataset_name="driver", split="conversations")
 DOCS_CFG = MiningConfig(dataset_name="driver", split="documents")
 ENCODER = HashedBagOfWords(256)
 CLAIM_SIZE = 100
+ROW_CAP = 150
 CLAIM_REQUEST = "first"
 CLAIM_MODEL = "Qwen/Qwen2.5-7B-Instruct-AWQ"
 
@@ -45,6 +46,12 @@ def q_dedup_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return build_corpus(driver.document_rows(spark, sf)).docs.select("doc_id", "first_ord", "doc_text")
 
 
+def q_row_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """The cap is the feature: the corpus of the first ROW_CAP rows."""
+    rows = cap_rows(driver.document_rows(spark, sf), ROW_CAP)
+    return build_corpus(rows).docs.select("doc_id", "first_ord")
+
+
 def q_corpus_queries(spark: SparkSession, sf: str) -> DataFrame:
     return build_corpus(driver.conversation_rows(spark, sf)).queries
 
@@ -298,10 +305,10 @@ def q_settle_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return votes.settle(driver.pairs(spark, sf), driver.annotations(spark, sf), driver.honeypots(spark, sf))
 
 
-def _run(spark, sf):
+def _run(spark, sf, subs=None):
     t = _tables(spark, sf)
     contrib = reports.contributor_totals(driver.contributors_base(spark, sf), t["annotations"])
-    subs = driver.run_submissions(spark, sf)
+    subs = driver.run_submissions(spark, sf) if subs is None else subs
     return submissions.process(
         subs, t["batches"], t["batch_pairs"], t["honeypots"], t["annotations"], contrib, t["pairs"], materialize=False
     )
@@ -318,6 +325,16 @@ def q_accept_annotations(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, sf).rows.select("submission_id", "pos", "pair_id", "contributor_id", "accepted", "reason")
 
 
+def q_accept_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _run(spark, sf, driver.mixed_submissions(spark, sf)).rows
+    return rows.select("submission_id", "pos", "pair_id", "contributor_id", "accepted", "reason")
+
+
+def q_results_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    r = _run(spark, sf, driver.mixed_submissions(spark, sf)).results
+    return r.select("submission_id", "batch_id", "contributor_id", "outcome", "accepted", "rejected", "input_tokens", "output_tokens")
+
+
 def q_submission_results(spark: SparkSession, sf: str) -> DataFrame:
     r = _run(spark, sf).results
     return r.select(
@@ -426,6 +443,7 @@ def q_validate_domain(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_id": q_content_id,
     "dedup_corpus": q_dedup_corpus,
+    "row_cap": q_row_cap,
     "corpus_queries": q_corpus_queries,
     "pair_id_uuid5": q_pair_id_uuid5,
     "tokenize": q_tokenize,
@@ -459,6 +477,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "submission_gate": q_submission_gate,
     "accept_annotations": q_accept_annotations,
     "submission_results": q_submission_results,
+    "accept_mixed": q_accept_mixed,
+    "results_mixed": q_results_mixed,
     "contributor_totals": q_contributor_totals,
     "batches_after_run": q_batches_after_run,
     "pairs_after_run": q_pairs_after_run,

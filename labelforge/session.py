@@ -89,6 +89,6 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/labelforge-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/labelforge-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

@@ -231,6 +231,27 @@ def run_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("sub_ts").over(Window.partitionBy("submission_id")).alias("submitted_at"),
     )
 
+def mixed_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same submissions with faults of every kind, by submission_id modulo 11.
+
+    1: another contributor; 2: a batch that doesn't exist; 3: the first label out
+    of range; 4: the first label missing; 5: the first pair from elsewhere; 6: a
+    pair repeated at the end. The others are as they came.
+    """
+    kind, first = F.col("submission_id") % 11, F.col("pos") == 0
+    subs = run_submissions(spark, sf_dir)
+    again = subs.where((kind == 6) & first).withColumn("pos", F.col("pos") + 1_000_000)
+    return (
+        subs.withColumn("contributor_id", F.when(kind == 1, F.col("contributor_id") + 1).otherwise(F.col("contributor_id")))
+        .withColumn("batch_id", F.when(kind == 2, F.col("batch_id") + 10**9).otherwise(F.col("batch_id")))
+        .withColumn(
+            "label",
+            F.when((kind == 3) & first, F.lit(7)).when((kind == 4) & first, F.lit(None)).otherwise(F.col("label")).cast("short"),
+        )
+        .withColumn("pair_id", F.when((kind == 5) & first, F.col("pair_id") + 10**9).otherwise(F.col("pair_id")))
+        .unionByName(again)
+    )
+
 
 def contributors_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributors with zero totals (totals come from ``contributor_totals``)."""

@@ -1,4 +1,6 @@
-from labelforge.sources.corpus import build_corpus, cap_rows
+import pytest
+
+from labelforge.sources.corpus import build_corpus, cap_rows, read_rows
 
 
 def rows(spark, queries, docs):
@@ -29,3 +31,11 @@ def test_null_query_rows_only_add_documents(spark):
     r = spark.createDataFrame([(0, None, "x"), (1, "q", "y")], "ord long, query string, document string")
     c = build_corpus(r)
     assert c.docs.count() == 2 and c.queries.count() == 1
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_rows_are_read_from_any_path_form(spark, tmp_path, fmt):
+    rows = spark.createDataFrame([(0, "q", "doc one"), (1, None, "doc two")], "ord long, query string, document string")
+    rows.write.format(fmt).save(f"file:{tmp_path}/rows")
+    corpus = build_corpus(read_rows(spark, f"file:{tmp_path}/rows", fmt))
+    assert corpus.docs.count() == 2 and corpus.queries.count() == 1

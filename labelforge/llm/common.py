@@ -42,6 +42,7 @@ def labels_of(labels: DataFrame, name: str) -> DataFrame:
 
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Like ``cut_lineage`` with a denser codec, for tables that hold texts."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/labelforge-tables/{name}-{uuid.uuid4().hex}"
+    base, app = checkpoint_dir(df.sparkSession).rstrip("/"), df.sparkSession.sparkContext.applicationId
+    path = f"{base}/labelforge-tables/{app}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", codec).parquet(path)
     return df.sparkSession.read.parquet(path)

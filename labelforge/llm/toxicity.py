@@ -16,7 +16,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.llm.common import labels_of, parallelism, whole_text
@@ -200,8 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
     ``2 * sample_per_class``, which bounds the broadcast, the one task that
     fits, and the model (``FEATURES`` weights).
     """
-    by_class = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = labels.withColumn("place", by_class).where(F.col("place") <= sample_per_class).select("doc_id", "label")
+    ordered = [labels.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id") for c in (0, 1)]
+    # an ordered limit takes the first ids of every partition and then of those: no task gets a whole class
+    zero, one = (x.limit(sample_per_class).select("doc_id", "label") for x in ordered)
+    picked = zero.union(one)
     texts = (
         docs.select("doc_id", whole_text().alias("text"))
         .join(F.broadcast(picked), "doc_id")

@@ -57,9 +57,12 @@ RANGE_TOKENS = 4_000_000
 #: Context-frequency buckets: powers of two, the last is open.
 BUCKETS = 16
 
-#: Counts above this one are alike for the unigram weight.
+#: Up to this count every count has a bin of its own for the unigram weight; above it bins are ``LEAVE_ONE_STEP`` wide.
 LEAVE_ONE_CAP = 1000
 
+#: Width of the bins of larger counts, in natural logarithms. No count is clipped: 63 bits make some 7500 bins.
+LEAVE_ONE_STEP = 0.005
+
 #: Width of the bins of log ratios that the bigram weights are learned from.
 RATIO_STEP = 0.05
 
@@ -205,9 +208,21 @@ def _requests(ranges: int):
     return run
 
 
+def count_bins(total: np.ndarray) -> np.ndarray:
+    """Bin of each count for the unigram weight: the count itself, or of log width above ``LEAVE_ONE_CAP``."""
+    above = np.floor(np.log(np.maximum(total, LEAVE_ONE_CAP) / LEAVE_ONE_CAP) / LEAVE_ONE_STEP).astype(np.int64)
+    return np.where(total <= LEAVE_ONE_CAP, total, LEAVE_ONE_CAP + 1 + above)
+
+
+def unigram_weight(types: np.ndarray, tokens: np.ndarray) -> float:
+    """The weight a by leaving one token out, from the types and tokens of each bin of known words."""
+    n, c = tokens.sum(), tokens / types
+    return learn_weight((c - 1) / max(1, n - 1) * (types.sum() + 1), tokens) if n else 0.0
+
+
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """Corpus counts for each block's slice of one key range, and the range's part of the totals."""
-    out, seen = [], []
+    out = []
     for order, rows in pdf.groupby("order"):
         keys = [unpack_sorted(k) for k in rows["keys"]]
         own = np.concatenate([_unplanes(c, 4) for c in rows["own"]])
@@ -218,15 +233,15 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
         for block, s, e in zip(rows["block"], ends - [len(k) for k in keys], ends):
             out.append((block, int(rows["range"].iloc[0]), int(order), _planes(counts[s:e]), None))
         if order == 1:
-            seen = np.bincount(np.minimum(total, LEAVE_ONE_CAP), minlength=LEAVE_ONE_CAP + 1)
-            tokens = np.bincount(np.minimum(total, LEAVE_ONE_CAP), weights=total, minlength=LEAVE_ONE_CAP + 1)
-            out.append((None, int(rows["range"].iloc[0]), 0, b"", list(zip(seen.tolist(), tokens.astype(np.int64).tolist()))))
+            bins, place, types = np.unique(count_bins(total), return_inverse=True, return_counts=True)
+            tokens = np.bincount(place, weights=total).astype(np.int64)
+            out.append((None, int(rows["range"].iloc[0]), 0, b"", list(zip(bins.tolist(), types.tolist(), tokens.tolist()))))
     table = pd.DataFrame(out, columns=["block", "range", "order", "counts", "totals"])
-    table["totals"] = [None if t is None else [{"types": a, "tokens": b} for a, b in t] for t in table["totals"]]
+    table["totals"] = [None if t is None else [{"bin": c, "types": a, "tokens": b} for c, a, b in t] for t in table["totals"]]
     return table
 
 
-_ANSWER_SCHEMA = "block string, range int, order int, counts binary, totals array<struct<types long, tokens long>>"
+_ANSWER_SCHEMA = "block string, range int, order int, counts binary, totals array<struct<bin long, types long, tokens long>>"
 
 
 @dataclass(frozen=True)
@@ -339,17 +354,14 @@ def interpolated_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> Data
 
     totals = (
         answers.where("order = 0")
-        .select(F.posexplode("totals").alias("c", "t"))
-        .groupBy("c")
+        .select(F.explode("totals").alias("t"))
+        .groupBy("t.bin")
         .agg(F.sum("t.types").alias("types"), F.sum("t.tokens").alias("tokens"))
         .collect()
     )
-    seen = {r["c"]: (r["types"], r["tokens"]) for r in totals}
-    tokens = sum(t for _, t in seen.values())
-    types = sum(n for c, (n, _) in seen.items() if c > 0)
-    c = np.array(sorted(k for k in seen if k > 0), dtype=np.float64)
-    n = np.array([seen[int(k)][1] for k in c], dtype=np.float64)
-    unigram = learn_weight((c - 1) / max(1, tokens - 1) * (types + 1), n) if tokens else 0.0
+    known = sorted((r["bin"], r["types"], r["tokens"]) for r in totals if r["bin"] > 0)
+    tokens, types = sum(n for _, _, n in known), sum(n for _, n, _ in known)
+    unigram = unigram_weight(*(np.array([k[i] for k in known], dtype=np.float64) for i in (1, 2)))
     model = Interpolation(tokens, types, unigram, np.zeros(BUCKETS))
 
     replies = answers.where("order > 0").select("block", "range", "order", "counts")

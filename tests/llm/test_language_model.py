@@ -134,3 +134,39 @@ def test_held_out_texts_score_above_the_base(spark):
     got = M.interpolated_scores(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).toPandas()
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum()
+
+
+def _exact_weight(counts):
+    c = np.array(counts, dtype=float)
+    return M.learn_weight((c - 1) / (c.sum() - 1) * (len(c) + 1), c)
+
+
+def test_unigram_weight_of_frequent_words(spark):
+    """Counts far above LEAVE_ONE_CAP; words unknown to training tell a apart: each is worth (1 - a) / (V + 1)."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40) for _ in range(1500 + 400 * i)]
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[s : s + 5000])) for i, s in zip((i for i in range(999) if fold(i) != 2), range(0, len(words), 5000))]
+    rows += [(i, f"rare{i} rare{i}b") for i in range(1000, 1100) if fold(i) != 2]
+    one, two = [i for i in range(2000, 2100) if fold(i) == 2][:2]
+    rows += [(one, "new newer"), (two, "new newer newest")]
+    uni = Counter(w for d, t in rows if fold(d) != 2 for w in tokens(t))
+    assert sum(uni.values()) / len(uni) > M.LEAVE_ONE_CAP
+    exact = _exact_weight(list(uni.values()))
+
+    got = {r.doc_id: r.score for r in M.interpolated_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a = 1 - 10 ** (got[two] - got[one]) * (len(uni) + 1)
+    assert exact > 0.99 and 1 - a == pytest.approx(1 - exact, rel=1e-3)
+
+
+def test_count_bins_do_not_clip():
+    counts = np.unique(np.concatenate([np.arange(1, 5000), np.logspace(3, 15, 4000).astype(np.int64)]))
+    bins = M.count_bins(counts)
+    assert (np.diff(bins) >= 0).all() and bins[-1] < 10_000 and M.count_bins(np.array([2**63 - 1]))[0] < 10_000
+    _, place, types = np.unique(bins, return_inverse=True, return_counts=True)
+    mean = (np.bincount(place, weights=counts) / types)[place]
+    assert np.abs(mean / counts - 1).max() < M.LEAVE_ONE_STEP * 1.01
+    for scale in (1, 10, 1000):
+        zipf = np.maximum(1, (scale * 50_000 / np.arange(1, 20_000)).astype(np.int64))
+        _, place, types = np.unique(M.count_bins(zipf), return_inverse=True, return_counts=True)
+        assert M.unigram_weight(types.astype(float), np.bincount(place, weights=zipf)) == pytest.approx(_exact_weight(zipf), rel=1e-4)

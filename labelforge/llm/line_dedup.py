@@ -1,14 +1,17 @@
 """Line dedup by a segment-partition edit join (DataFrame functions only).
 
 Lines equal after trimming are one distinct line. Two distinct lines of at least
-``NEAR_CHARS`` characters are near if at most ``EDITS`` single-character edits
-turn one into the other. Every line is cut into ``EDITS + 1`` even segments; a
-line within the threshold holds one of them unchanged, at a position that the
-two lengths bound. So segments are indexed under (length, number, content), and
-every line probes the index with the substrings that can match, for each length
-in reach: an equi-join of hashes. Candidates that share too few of finer
-segments are dropped, and the rest are verified by a banded bit-parallel edit
-distance, whose band of ``2 * EDITS + 1`` diagonals is one machine word.
+``NEAR_CHARS`` characters are near if few single-character edits turn one into
+the other: how many is set by the band of ``BANDS`` that the shorter one's length
+is in. A band is cut into slices, and the first characters of a slice's lines,
+as many as its shortest line has, into ``edits + 1`` segments at fixed places. A
+near line holds one of them unchanged, shifted by at most as many characters as
+segments stand before it. Of a segment, the characters from its first space on
+are the key (from its start, if no space is near): so a line, which probes with
+every shift, has few distinct keys. Index and probes meet in an equi-join of
+hashes. Candidates that share too few of finer segments are dropped, and the
+rest are verified by a banded bit-parallel edit distance, whose band of
+``2 * edits + 1`` diagonals is one machine word.
 
 A line is removed where an earlier line (by doc_id, then line number) is equal
 or near. Lines below ``MIN_CHARS`` characters are left alone.
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from labelforge.llm.common import store, whole_text
 from labelforge.session import cut_lineage
 
-#: Edits between near lines, at most.
+#: Edits between near lines of the first band, at most.
 EDITS = 2
 
 #: Shorter lines are never removed.
@@ -33,6 +36,16 @@ MIN_CHARS = 20
 #: Shorter lines are compared for equality only.
 NEAR_CHARS = 40
 
+#: (shortest line, edits): from this length of the shorter line on, near lines are so many edits apart at most.
+BANDS = ((NEAR_CHARS, EDITS), (120, 4), (240, 8), (960, 16))
+
+#: A slice of a band goes up to this multiple of its shortest line; the last one is open.
+SLICE_GROWTH = 1.4
+SLICES_ABOVE = 8
+
+#: A segment's key begins at a space among its first characters: a third of it, and at most this many.
+ANCHOR_CHARS = 12
+
 #: Segments of the finer check before verification.
 FINE_SEGMENTS = 20
 
@@ -65,37 +78,97 @@ def _segment(length: Column, number: Column, segments: int) -> tuple[Column, Col
     return size * number + before, own
 
 
-def index_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, a): hashes of (segment number, length, segment) of ``lines(id, line, length)``."""
-    k, length = F.col("k"), F.col("length")
-    start, size = _segment(length, k, edits + 1)
-    each = lines.select("id", "line", "length", F.explode(F.array(*[F.lit(i) for i in range(edits + 1)])).alias("k"))
-    return each.select(F.xxhash64(k, length, F.substring(F.col("line"), start + 1, size)).alias("key"), F.col("id").alias("a"))
+def slices(bands: tuple[tuple[int, int], ...] = BANDS) -> list[tuple[int, int]]:
+    """(shortest line, edits) of every slice, in order of length."""
+    out = []
+    for number, (low, edits) in enumerate(bands):
+        low = max(low, edits + 1)
+        end = bands[number + 1][0] if number + 1 < len(bands) else int(low * SLICE_GROWTH**SLICES_ABOVE)
+        while low < end:
+            out.append((low, edits))
+            low = max(low + 1, int(low * SLICE_GROWTH))
+    return out
+
+
+def _slice_of(length: Column, cuts: list[tuple[int, int]]) -> Column:
+    """Number of the slice of a length; null below the first one."""
+    number = F.lit(None).cast("int")
+    for i, (low, _) in enumerate(cuts):
+        number = F.when(length >= low, F.lit(i)).otherwise(number) if i == 0 else F.when(length < low, number).otherwise(F.lit(i))
+    return number
+
+
+def _of_slice(number: Column, values: list[int]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), number)
 
 
-def probe_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, b): hashes of the substrings that a line no longer than b's may hold as a segment.
+def _keys(lines: DataFrame, cuts: list[tuple[int, int]], shifted: bool) -> DataFrame:
+    """(key, id, length): hashes of each line's segments in slice ``j``, at every possible shift or at none.
 
-    For a length difference d and segment k the start may be off by at most k
-    from the left end and by at most edits - k from the right end.
+    If edits up to ``edits`` leave segment k the first that is untouched after
+    exactly k edits, it stands in the longer line at most k to the right and at
+    most min(k, edits - k) to the left.
     """
-    shapes = [
-        F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(off).alias("off"))
-        for d in range(edits + 1)
-        for k in range(edits + 1)
-        for off in range(max(-k, d - (edits - k)), min(k, d + (edits - k)) + 1)
-    ]
-    each = lines.select("id", "line", "length", F.explode(F.array(*shapes)).alias("s"))
-    k, other = F.col("s.k"), F.col("length") - F.col("s.d")
-    start, size = _segment(other, k, edits + 1)
-    at = start + F.col("s.off")
-    key = F.xxhash64(k, other, F.substring(F.col("line"), at + 1, size))
-    return each.where((at >= 0) & (at + size <= F.col("length"))).select(key.alias("key"), F.col("id").alias("b"))
-
-
-def enough_fine_segments(a: Column, b: Column, edits: int = EDITS, segments: int = FINE_SEGMENTS) -> Column:
+    edits = _of_slice(F.col("j"), [e for _, e in cuts])
+    size = _of_slice(F.col("j"), [low // (e + 1) for low, e in cuts])
+    room = _of_slice(F.col("j"), [min(ANCHOR_CHARS, low // (e + 1) // 3) if e > EDITS else 0 for low, e in cuts])
+    sized = lines.select("id", "line", "length", "j", edits.alias("edits"), size.alias("size"), room.alias("room"))
+    each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("k"))
+    k, size, room, start = F.col("k"), F.col("size"), F.col("room"), F.col("k") * F.col("size")
+    left = F.least(k, F.col("edits") - k, start) if shifted else F.lit(0)
+    last = F.least(start + (k if shifted else F.lit(0)), F.col("length") - size)
+    part = F.substring(F.col("line"), start - left + 1, last - (start - left) + size)
+    each = each.select("id", "length", "j", "k", "size", "room", part.alias("part"), (last - (start - left)).alias("shifts"))
+
+    def anchored(shift: Column) -> Column:
+        space = F.call_function("locate", F.lit(" "), F.col("part"), shift + 1)
+        return _let(space, lambda at: F.when(at.between(shift + 1, shift + 1 + F.col("room")), at - 1).otherwise(shift))
+
+    shifts = F.sequence(F.lit(0), F.col("shifts"))
+    starts = F.when(F.col("room") > 0, F.array_distinct(F.transform(shifts, anchored))).otherwise(shifts)
+    found = each.where("shifts >= 0").select("*", F.explode(starts).alias("at"))
+    text = F.substring(F.col("part"), F.col("at") + 1, F.col("size") - F.col("room"))
+    return found.select(F.xxhash64("j", "k", text).alias("key"), "id", "length")
+
+
+def index_keys(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
+    """(key, a, na): the segments of ``lines(id, line, length)``, each line in the slice of its length."""
+    cuts = slices(bands)
+    keys = _keys(lines.select("id", "line", "length", _slice_of(F.col("length"), cuts).alias("j")), cuts, False)
+    return keys.select("key", F.col("id").alias("a"), F.col("length").alias("na"))
+
+
+def probe_keys(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
+    """(key, b, nb): what a line may hold of the segments of lines no longer than itself, in every slice in reach."""
+    cuts = slices(bands)
+    own = _slice_of(F.col("length"), cuts)
+    # a slice in reach below: its longest line is at most its edits shorter
+    reach = [F.when((own > i) & (F.col("length") - edits < cuts[i + 1][0]), F.lit(i)) for i, (_, edits) in enumerate(cuts[:-1])]
+    places = F.array_compact(F.array(own, *reach))
+    keys = _keys(lines.select("id", "line", "length", F.explode(places).alias("j")), cuts, True)
+    return keys.select("key", F.col("id").alias("b"), F.col("length").alias("nb"))
+
+
+def allowed_edits(length: Column, bands: tuple[tuple[int, int], ...] = BANDS) -> Column:
+    """Edits of the band of the shorter line's length."""
+    edits = F.lit(bands[0][1])
+    for low, more in bands[1:]:
+        edits = F.when(length >= low, F.lit(more)).otherwise(edits)
+    return edits
+
+
+def _by_band(length: Column, bands: tuple[tuple[int, int], ...], body: Callable[[int], Column]) -> Column:
+    """``body(edits)`` with the edits of the band of a length."""
+    out = body(bands[0][1])
+    for low, edits in bands[1:]:
+        out = F.when(length >= low, body(edits)).otherwise(out)
+    return out
+
+
+def enough_fine_segments(a: Column, b: Column, edits: int = EDITS, segments: int | None = None) -> Column:
     """False only for lines beyond the threshold: every edit spoils one of a's segments at most."""
     length = F.char_length(a)
+    segments = max(FINE_SEGMENTS, 2 * edits) if segments is None else segments
 
     def missing(lost: Column, k: Column) -> Column:
         start, size = _segment(length, k, segments)
@@ -122,7 +195,7 @@ def banded_edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
         left, right, lag = pair["left"], pair["right"], pair["lag"]
         vp, vn = state["vp"], state["vn"]
         matches = [
-            F.when(F.get(left, j - F.lit(edits - i)) == F.get(right, j), F.lit(1 << i)).otherwise(F.lit(0))
+            F.when(F.get(left, j - F.lit(edits - i)) == F.get(right, j), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
             for i in range(width)
         ]
         pm = sum(matches[1:], matches[0])
@@ -137,13 +210,13 @@ def banded_edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
             return F.struct(
                 hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(F.lit(mask)).alias("vp"),
                 down.bitwiseAND(hp).bitwiseAND(F.lit(mask)).alias("vn"),
-                (state["d"] + F.lit(1) - F.call_function("shiftright", d0, F.lit(edits) - lag).bitwiseAND(F.lit(1))).alias("d"),
+                (state["d"] + F.lit(1) - F.call_function("shiftright", d0, F.lit(edits) - lag).bitwiseAND(F.lit(1))).cast("int").alias("d"),
             )
 
         return F.when(state["d"] > edits, state).otherwise(_let(_let(pm, with_pm), with_d0))
 
     def whole(pair: Column) -> Column:
-        start = F.struct(F.lit(mask ^ falling).alias("vp"), F.lit(falling).alias("vn"), pair["lag"].alias("d"))
+        start = F.struct(F.lit(mask ^ falling).cast("long").alias("vp"), F.lit(falling).cast("long").alias("vn"), pair["lag"].alias("d"))
         columns = F.sequence(F.lit(0), F.size(pair["right"]) - 1)
         return F.aggregate(columns, start, lambda state, j: step(pair, state, j), lambda state: state["d"])
 
@@ -168,22 +241,23 @@ def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, hot: int = HOT_SEGMENT) -> DataFrame:
-    """(a, b): ids of the distinct lines within ``edits`` edits, a's line no longer than b's; every pair once."""
-    long = lines.where(F.col("length") >= max(near_chars, edits + 1)).select("id", "line", "length")
-    index, probe = index_keys(long, edits), probe_keys(long, edits)
+def near_lines(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = HOT_SEGMENT) -> DataFrame:
+    """(a, b): ids of the distinct lines within the edits of a's band, a's line no longer than b's; every pair once."""
+    long = lines.where(F.col("length") >= slices(bands)[0][0]).select("id", "line", "length")
+    index, probe = index_keys(long, bands), probe_keys(long, bands)
+    once = F.expr("a <> b and (na < nb or (na = nb and a < b))") & (F.col("nb") - F.col("na") <= allowed_edits(F.col("na"), bands))
     crowded = cut_lineage(
         index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / (16 * max(1, hot))).cast("int").alias("parts")),
         "crowded-segments",
     )
     # one pass of the probes: crowded segments are met by their key alone, the others by their lines
-    sought = index.join(crowded, "key", "left_anti").select("key", "a", F.lit(None).cast("int").alias("parts"))
-    sought = sought.union(crowded.select("key", F.lit(None).cast("long"), "parts"))
-    met = sought.join(probe, "key").where("a is null or a <> b").select("key", "a", "parts", "b")
+    sought = index.join(crowded, "key", "left_anti").select("key", "a", "na", F.lit(None).cast("int").alias("parts"))
+    sought = sought.union(crowded.select("key", F.lit(None).cast("long"), F.lit(None).cast("int"), "parts"))
+    met = sought.join(probe, "key").where(F.col("a").isNull() | once).select("key", "a", "parts", "b")
     met = cut_lineage(met, "segment-matches")
     cold = met.where("a is not null").select("a", "b").distinct()
     hot_probe = met.where("a is null").select("key", "parts", "b")
-    hot_index = cut_lineage(index.join(crowded, "key"), "crowded-index")
+    hot_index = cut_lineage(index.drop("na").join(crowded, "key"), "crowded-index")
     ids = cut_lineage(
         cold.select(F.col("a").alias("id"))
         .union(cold.select("b"))
@@ -196,26 +270,26 @@ def near_lines(lines: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHAR
     texts = store(long.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "candidate-texts")
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("length").alias("na"))
     b = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("length").alias("nb"))
-    fits = enough_fine_segments(F.col("la"), F.col("lb"), edits)
-    once = (F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
+    fits = _by_band(F.col("na"), bands, lambda edits: enough_fine_segments(F.col("la"), F.col("lb"), edits))
     # index rows of crowded segments are dealt into parts, probes go to every part, and only fitting pairs come out
     left = hot_index.select("key", "a", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part")).join(a, "a")
     right = hot_probe.select("key", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(b, "b")
     paired = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & once & fits)
     checked = cold.join(a, "a").join(b, "b").where(once & fits)
-    both = checked.select("a", "b", "la", "lb").union(paired.select("a", "b", "la", "lb")).dropDuplicates(["a", "b"])
-    near = banded_edit_distance(F.col("la"), F.col("lb"), edits) <= edits
+    columns = ["a", "b", "na", "la", "lb"]
+    both = checked.select(columns).union(paired.select(columns)).dropDuplicates(["a", "b"])
+    near = _by_band(F.col("na"), bands, lambda edits: banded_edit_distance(F.col("la"), F.col("lb"), edits) <= edits)
     return cut_lineage(both.where(near).select("a", "b"), "near-lines")
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
     """(doc_id, kept_lines, near_removed, near_links): line numbers per document that holds a first place.
 
     ``kept_lines`` are first places that stay, ``near_removed`` first places that
     have an earlier near line, ``near_links`` counts the near lines of both.
     """
     lines = distinct_lines(docs, min_chars)
-    links = near_lines(lines, edits, near_chars)
+    links = near_lines(lines, bands)
     firsts = lines.select("id", "first")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
     met = ends.join(firsts, "id").join(firsts.select(F.col("id").alias("other"), F.col("first").alias("before")), "other")

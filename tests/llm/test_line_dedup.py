@@ -128,3 +128,49 @@ def test_no_python_on_the_main_path(spark, capsys):
         out.explain("formatted")
         plan = capsys.readouterr().out
         assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))
+
+
+def allowed(n):
+    return max(e for low, e in L.BANDS if n >= low)
+
+
+def within(a, b, most):
+    """The plain recurrence, on the diagonals that ``most`` edits can reach."""
+    row = {j: j for j in range(most + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            up, left = row.get(j, most) + 1, new.get(j - 1, most) + 1
+            new[j] = min(up, left, row.get(j - 1, most + 1) + (x != b[j - 1])) if j else i
+        row = new
+        if min(row.values()) > most:
+            return False
+    return row.get(len(b), most + 1) <= most
+
+
+@pytest.mark.parametrize("letters, hot", [("abcdefgh ", 16), ("abcdefgh", 0)])  # with spaces and without any
+def test_longer_lines_match_all_pairs_of_their_band(spark, letters, hot):
+    random.seed(len(letters))
+    line = lambda n: "".join(random.choice(letters) for _ in range(n)).replace(" ", "e", 1).strip()
+    base = [line(n) for n in (109, 119, 120, 165, 239, 242, 480, 700, 959, 963, 1400)]
+    lines = sorted({mutated(b, random.randint(0, allowed(len(b)) + 2), letters).strip() for b in base for _ in range(5)} | set(base))
+    table = L.distinct_lines(from_texts(spark, ["\n".join(lines)]))
+    ids = {r.line: r.id for r in table.collect()}
+    got = {frozenset((r.a, r.b)) for r in L.near_lines(table, hot=hot).collect()}
+    long = sorted(ids, key=len)
+    exp = {
+        frozenset((ids[a], ids[b]))
+        for i, a in enumerate(long)
+        for b in long[i + 1 :]
+        if len(b) - len(a) <= allowed(len(a)) and within(a, b, allowed(len(a)))
+    }
+    assert got == exp and len(exp) > 50
+
+
+def test_one_replaced_word_makes_a_long_line_near(spark):
+    words = [f"term{i * i}" for i in range(60)]
+    line = " ".join(words)
+    other = " ".join([*words[:30], "replaced", *words[31:]])
+    assert edit_distance(line, other) > L.EDITS
+    got = {r.doc_id: r.n_near_removed for r in L.line_report(from_texts(spark, [line, other])).collect()}
+    assert got == {0: 0, 1: 1}

@@ -193,13 +193,15 @@ def toxicity_labels(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> NaiveBayesLinear:
     """Fit on a bounded sample of the labelled rows, balanced over the classes.
 
-    ``labels(doc_id, label)`` has one row per id. Of each class the ids with the
-    smallest hashes are taken, ``sample_per_class`` at most; both classes weigh
+    ``labels(doc_id, label)`` has one row per id. Of each class the ids of ``docs`` with
+    the smallest hashes are taken, ``sample_per_class`` at most; both classes weigh
     the same, so 0.5 is where a text speaks for either alike. Of rows that
     repeat an id the smallest text counts. The ids picked are at most
     ``2 * sample_per_class``, which bounds the broadcast, the one task that
     fits, and the model (``FEATURES`` weights).
     """
+    # only labels of rows at hand take up places of the sample
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     ordered = [labels.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id") for c in (0, 1)]
     # an ordered limit takes the first ids of every partition and then of those: no task gets a whole class
     zero, one = (x.limit(sample_per_class).select("doc_id", "label") for x in ordered)

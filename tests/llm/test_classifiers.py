@@ -101,3 +101,12 @@ def test_scores_ignore_other_columns(spark):
     for run in (quality.quality, toxicity.toxicity):
         a, b = (sorted(map(tuple, run(x, marks, F.lit(True)).collect())) for x in (docs, other))
         assert a == b
+
+
+def test_labels_of_absent_documents_take_no_places(spark):
+    every = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, label int")
+    kept = [r.doc_id for r in every.orderBy(F.xxhash64("doc_id").desc()).limit(40).collect()]  # the last to be picked
+    docs = spark.createDataFrame([(i, "awful nasty words" if i % 2 else "kind pleasant words") for i in kept], "doc_id long, text string")
+    got = toxicity.fit(docs, every, 20)
+    exp = toxicity.fit(docs, every.where(F.col("doc_id").isin(kept)), 20)
+    assert exp.weights.any() and (got.weights == exp.weights).all() and got.intercept == exp.intercept

@@ -15,4 +15,44 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM numbered
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+            FROM (
+                SELECT lang, unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents
+            )
+        ), sizes AS (
+            SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+        ), counts AS (
+            SELECT lang, k, phrase, count(*) AS f
+            FROM (
+                SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+                FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) AS t(k))
+            )
+            GROUP BY ALL HAVING count(*) >= 100
+        ), candidates AS (
+            SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+        ), parts AS (
+            SELECT DISTINCT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, a AS longer
+            FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 5) AS t(m) WHERE m < k)
+        ), kept AS (
+            SELECT * FROM candidates AS c
+            WHERE NOT EXISTS (SELECT 1 FROM parts AS p WHERE p.lang = c.lang AND p.phrase = c.phrase AND 100 * p.longer >= 100 * c.a)
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, s.n,
+                   (1000::HUGEINT * c.a * s.n) // (l.f::HUGEINT * r.f) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) AS c
+            JOIN counts AS l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : cut], ' ')
+            JOIN counts AS r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1 :], ' ')
+            JOIN sizes AS s ON s.lang = c.lang
+        ), best AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM best QUALIFY rank <= 2000
+    """,
 }

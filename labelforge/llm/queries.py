@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import exact_dedup, language_model, line_dedup, packing, quality, simhash, spotsigs, toxicity
+from labelforge.llm import collocations, exact_dedup, language_model, line_dedup, packing, quality, simhash, spotsigs, toxicity
 from labelforge.llm.bpe import BytePairTokenizer
 from labelforge.llm.common import crc_fold, table, whole_text
 from labelforge.llm.license_scan import license_labels, license_scan
@@ -73,6 +73,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_toxicity": op2_toxicity,
@@ -84,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_spotsigs": op9_spotsigs,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_collocations": op11_collocations,
 }

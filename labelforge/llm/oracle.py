@@ -55,4 +55,38 @@ ORACLE_SQL: dict[str, str] = {
                phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
         FROM best QUALIFY rank <= 2000
     """,
+    "op13_lexical_search": r"""
+        WITH terms AS (
+            SELECT d, doc_id, unnest(w) AS term, len(w) AS n
+            FROM (
+                SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+                FROM documents
+            )
+        ), postings AS (
+            SELECT d, doc_id, n, term, count(*) AS tf FROM terms GROUP BY ALL
+        ), totals AS (
+            SELECT count(DISTINCT d) AS docs, count(*) AS all_terms FROM terms
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM postings, totals GROUP BY term, docs
+        ), asked AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (
+                SELECT item_id, unnest(regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)
+            )
+            GROUP BY ALL
+        ), scores AS (
+            SELECT item_id, d, doc_id,
+                   sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // all_terms))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN postings USING (term), totals
+            GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 20
+    """,
 }

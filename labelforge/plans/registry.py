@@ -19,7 +19,7 @@ from labelforge.functions.families import KNOWN_FAMILIES, family_match, model_fa
 from labelforge.functions.ids import content_id, uuid5_url
 from labelforge.functions.text import tokenize
 from labelforge.functions.vectors import l2_normalize
-from labelforge.operators import bm25, candidates, dense, fusion, ivf, lifecycle, planning, reports, submissions, votes
+from labelforge.operators import bm25, candidates, cell_tree, dense, fusion, ivf, lifecycle, planning, reports, submissions, votes
 from labelforge.operators.encoders import HashedBagOfWords
 from labelforge.sources import driver, sink
 from labelforge.session import cut_lineage
@@ -181,6 +181,41 @@ def q_ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ivf.search(index, q, 10, plan.cells, doc_block=64, query_block=64).select("query_ord", "doc_id", "rank", "score")
 
 
+def q_ivf_cells_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of a cell tree: vectors in all, and how many are in no cell, in several, or not at their branch's nearest leaf."""
+    vecs = driver.embedding_vectors(spark, sf)
+    tree = cell_tree.build(vecs)
+    rows = tree.vectors.join(tree.leaves.select("cell", "branch", "centre"), "cell", "left")
+    near = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    own = rows.select("first_ord", "embedding", "branch", F.col("cell").alias("own"), near("embedding", "centre").alias("own_near"))
+    other = tree.leaves.select("branch", "cell", "centre")
+    better = own.join(other, "branch").where((F.col("cell") != F.col("own")) & (near("embedding", "centre") > F.col("own_near") + 1e-9))
+    counts = rows.groupBy("first_ord").agg(F.count("*").alias("cells"), F.count_if(F.col("branch").isNull()).alias("unknown"))
+    return counts.agg(
+        F.count("*").alias("vectors"),
+        F.count_if(F.col("cells") > 1).alias("in_several"),
+        F.sum("unknown").alias("in_no_cell"),
+        F.lit(better.select("first_ord").distinct().count()).cast("long").alias("not_nearest"),
+    )
+
+
+def q_ivf_tree_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree searched below full probe, against the exact search: recall of the ten nearest of every vector."""
+    vecs = driver.embedding_vectors(spark, sf)
+    tree = cell_tree.build(vecs)
+    q = vecs.select(F.col("first_ord").alias("query_ord"), "embedding")
+    cells = tree.leaves.count()
+    probes = max(1, cells * 3 // 4)
+    found = cell_tree.search(tree, q, 10, probes, len(tree.branches), doc_block=1024, query_block=1024).select("query_ord", "doc_id")
+    exact = dense.exact_topk(q, vecs, 10).select("query_ord", "doc_id")
+    both = exact.join(found.withColumn("hit", F.lit(1)), ["query_ord", "doc_id"], "left")
+    return both.agg(
+        F.count_distinct("query_ord").alias("queries"),
+        F.lit(probes < cells).alias("below_full_probe"),
+        (F.count("hit") / F.count("*") >= 0.9).alias("recall_reached"),
+    )
+
+
 def q_mine_pairs_ivf(spark: SparkSession, sf: str) -> DataFrame:
     """Mining in IVF mode with a budget that probes every cell: the same pairs as the exact mode."""
     cfg = dataclasses.replace(CONV_CFG, search="ivf", min_search_docs=2**62)
@@ -459,6 +494,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insert_ignore": q_insert_ignore,
     "ivf_cells": q_ivf_cells,
     "ivf_topk": q_ivf_topk,
+    "ivf_cells_checked": q_ivf_cells_checked,
+    "ivf_tree_recall": q_ivf_tree_recall,
     "mine_pairs_ivf": q_mine_pairs_ivf,
     "bm25_top50": q_bm25_top50,
     "dense_top10": q_dense_top10,

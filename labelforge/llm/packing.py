@@ -32,9 +32,13 @@ SHARD_PIECES = 20_000
 BIN_COST = 16
 
 
+#: Characters of a token, at most: a longer run without white space (unspaced script, base64) is several tokens.
+TOKEN_CHARS = 16
+
+
 def word_count(text: Column) -> Column:
-    """Tokens of a text if no tokenizer is given: its words between 0x20 and 0x09-0x0D."""
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """Tokens of a text if no tokenizer is given: its words between 0x20 and 0x09-0x0D, by TOKEN_CHARS characters."""
+    return F.regexp_count(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}}")).cast("long")
 
 
 def pieces(docs: DataFrame, tokens: Callable[[Column], Column] = word_count, longest: int = max(LENGTHS)) -> DataFrame:

@@ -56,3 +56,8 @@ def from_texts(spark: SparkSession, texts: list[str | None], first: int = 0) ->
 
 def labels(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def tokens(text: str) -> int:
+    """Tokens of a text by white space, 16 characters of a run at most."""
+    return sum(-(-len(run.decode()) // 16) for run in text.encode().split())

@@ -3,18 +3,19 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelforge.llm import packing
-from tests.llm.data import awkward, empty, from_texts
+from tests.llm.data import awkward, empty, from_texts, tokens
 
 
-def check(rows, tokens, lengths):
+def check(rows, expected, lengths):
     """Every token once, bins within their length, no gap, no overlap, and no shorter permitted length would do."""
     spans, bins = defaultdict(list), defaultdict(list)
     for r in rows:
         spans[(r.doc_id, r.copy)].append((r.first_token, r.n_tokens))
         bins[r.bin_id].append(r)
-    assert sorted(((d, sum(n for _, n in s)) for (d, _), s in spans.items()), key=str) == sorted(tokens, key=str)
+    assert sorted(((d, sum(n for _, n in s)) for (d, _), s in spans.items()), key=str) == sorted(expected, key=str)
     for s in spans.values():
         s.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[0][0] == 0
@@ -31,7 +32,7 @@ def check(rows, tokens, lengths):
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = packing.best_fit_packing(docs, lengths=(8, 16, 64)).collect()
-    exp = [(r.doc_id, len(r.text.encode().split())) for r in docs.collect() if r.text and r.text.encode().split()]
+    exp = [(r.doc_id, tokens(r.text)) for r in docs.collect() if r.text and tokens(r.text)]
     check(rows, exp, (8, 16, 64))
 
 
@@ -80,3 +81,9 @@ def test_expected_fill_is_greedy():
     assert rest.filled(10, 100) == 10 + 50 + 30
     rest.take(50)
     assert rest.filled(10, 100) == 10 + 30 + 30 + 20
+
+
+def test_unspaced_runs_count_by_characters(spark):
+    texts = ["x" * 16, "x" * 17, "漢" * 40_000, "a " * 3, "\U0001f600" * 33, ""]
+    got = {r.doc_id: r.n for r in from_texts(spark, texts).select("doc_id", packing.word_count(F.col("text")).alias("n")).collect()}
+    assert got == {i: tokens(t) for i, t in enumerate(texts)} == {0: 1, 1: 2, 2: 2500, 3: 3, 4: 3, 5: 0}

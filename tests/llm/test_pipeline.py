@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from labelforge.llm import line_dedup, oracle, quality, queries, simhash, toxicity
 from labelforge.llm.common import store
-from tests.llm.data import awkward, empty
+from tests.llm.data import awkward, empty, tokens
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -68,7 +68,7 @@ def test_near_duplicate_stage_keeps_one_of_each_group(steps):
 
 
 def test_packing_stage_has_every_token(steps):
-    words = {r.doc_id: len(r.text.encode().split()) for r in steps[4].collect()}
+    words = {r.doc_id: tokens(r.text) for r in steps[4].collect()}
     packed = {r.doc_id: r.n for r in steps[5].groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
     assert packed == {k: v for k, v in words.items() if v}
 

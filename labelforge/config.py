@@ -39,7 +39,7 @@ class MiningConfig:
     # engine knobs (no effect on results)
     pad_bm25: bool = True
     query_block: int = 1024
-    doc_block: int = 4096
+    doc_block: int = 65_536
 
     @property
     def source_dataset_label(self) -> str:

@@ -55,8 +55,8 @@ def _replay(df: DataFrame, ts_col: str, root: str, run: Callable[[DataFrame], ob
 def q_stream_activity(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark, "activity")
     ev = driver.table(spark, sf, "events")
-    # a slice arrives in any order inside itself, so lateness is allowed for the whole stream
-    run = lambda s: activity.start(activity.rolling_counts(s, "ts", "user_id", watermark="3650 days"), f"{root}/log", f"{root}/ck")
+    # slices follow each other in time, in any order inside themselves: nothing is later than the watermark
+    run = lambda s: activity.start(activity.pane_counts(s, "ts", "user_id", watermark="2 hours"), f"{root}/log", f"{root}/ck")
     _replay(ev, "ts", root, run)
     return activity.report(spark, f"{root}/log")
 

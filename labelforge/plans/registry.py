@@ -475,6 +475,18 @@ def q_validate_domain(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def q_domain_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored annotations with labels moved up and some models taken away: the rows that break a rule, and which."""
+    ann = driver.annotations(spark, sf).withColumn("id", uuid5_url(F.col("pair_id").cast("string"), F.col("contributor_id").cast("string")))
+    faulty = ann.withColumn("label", F.col("label") + 2).withColumn("model_id", F.when(F.col("pair_id") % 7 != 0, F.col("model_id")))
+    _, bad = schemas.validate(schemas.with_defaults(faulty, "annotations"), schemas.rules("annotations"))
+    return bad.select(
+        F.col("pair_id").cast("string").alias("pair_id"),
+        F.col("contributor_id").cast("string").alias("contributor_id"),
+        F.array_join("failed", ",").alias("failed"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_id": q_content_id,
     "dedup_corpus": q_dedup_corpus,
@@ -527,4 +539,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_lookup": q_profile_lookup,
     "profile_upsert": q_profile_upsert,
     "validate_domain": q_validate_domain,
+    "domain_violations": q_domain_violations,
 }

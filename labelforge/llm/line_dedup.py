@@ -9,9 +9,11 @@ near line holds one of them unchanged, shifted by at most as many characters as
 segments stand before it. Of a segment, the characters from its first space on
 are the key (from its start, if no space is near): so a line, which probes with
 every shift, has few distinct keys. Index and probes meet in an equi-join of
-hashes. Candidates that share too few of finer segments are dropped, and the
-rest are verified by a banded bit-parallel edit distance, whose band of
-``2 * edits + 1`` diagonals is one machine word.
+hashes. A pair whose counts of single characters differ by more than the
+threshold is dropped before any text is moved. The rest meet once with their
+lines; what is between their common prefix and suffix is verified by a banded
+bit-parallel edit distance, whose band of ``2 * edits + 1`` diagonals is one
+machine word.
 
 A line is removed where an earlier line (by doc_id, then line number) is equal
 or near. Lines below ``MIN_CHARS`` characters are left alone.
@@ -37,7 +39,7 @@ MIN_CHARS = 20
 NEAR_CHARS = 40
 
 #: (shortest line, edits): from this length of the shorter line on, near lines are so many edits apart at most.
-BANDS = ((NEAR_CHARS, EDITS), (120, 4), (240, 8), (960, 16))
+BANDS = ((NEAR_CHARS, EDITS), (120, 4))
 
 #: A slice of a band goes up to this multiple of its shortest line; the last one is open.
 SLICE_GROWTH = 1.4
@@ -46,10 +48,10 @@ SLICES_ABOVE = 8
 #: A segment's key begins at a space among its first characters: a third of it, and at most this many.
 ANCHOR_CHARS = 12
 
-#: Segments of the finer check before verification.
-FINE_SEGMENTS = 20
+#: Characters whose counts are compared before verification.
+COUNTED = "etaoinshrdlucmfwypvbgkz., "
 
-#: A segment of more lines than this is joined with the lines' text at hand, so that only checked pairs leave the join.
+#: A segment of more lines than this is joined in parts, so that only pairs of like counts leave the join.
 HOT_SEGMENT = 16
 
 #: Lines to look up below this number are broadcast (ids of eight bytes); beyond it they are joined by a shuffle.
@@ -165,18 +167,45 @@ def _by_band(length: Column, bands: tuple[tuple[int, int], ...], body: Callable[
     return out
 
 
-def enough_fine_segments(a: Column, b: Column, edits: int = EDITS, segments: int | None = None) -> Column:
-    """False only for lines beyond the threshold: every edit spoils one of a's segments at most."""
-    length = F.char_length(a)
-    segments = max(FINE_SEGMENTS, 2 * edits) if segments is None else segments
+def character_counts(line: Column) -> Column:
+    """Occurrences of each of ``COUNTED`` in a line."""
+    size = F.octet_length(line)
+    return F.array(*[size - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
 
-    def missing(lost: Column, k: Column) -> Column:
-        start, size = _segment(length, k, segments)
-        near = F.substring(b, F.greatest(start + 1 - edits, F.lit(1)), size + edits + F.least(start, F.lit(edits)))
-        whole = F.contains(near, F.substring(a, start + 1, size))
-        return F.when((lost > edits) | whole, lost).otherwise(lost + 1)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(segments - 1)), F.lit(0), missing) <= edits
+def like_counts(a: Column, b: Column, edits: Column) -> Column:
+    """False only for lines beyond the threshold: an edit takes one character away, or adds one, or both."""
+    more = F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
+    less = F.aggregate(F.zip_with(b, a, lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
+    return (more <= edits) & (less <= edits)
+
+
+def _common(size: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The greatest p up to ``size`` for which ``same(start, length)`` holds of all up to p, by halving steps."""
+
+    def step(p: Column, bit: Column) -> Column:
+        more = F.call_function("shiftleft", F.lit(1), bit)
+        return F.when((p + more <= size) & same(p, more), p + more).otherwise(p)
+
+    bits = F.sequence(F.ceil(F.log2(size + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
+    return F.when(size <= 0, F.lit(0)).otherwise(F.aggregate(bits, F.lit(0), step))
+
+
+def stripped(a: Column, b: Column) -> Column:
+    """Struct (a, b) of what is left of two lines without their common prefix and, then, suffix."""
+
+    def without_suffix(x: Column) -> Column:
+        left, right = x["a"], x["b"]
+        na, nb = F.char_length(left), F.char_length(right)
+        suffix = _common(
+            F.least(na, nb),
+            lambda q, n: F.substring(left, na - q - n + 1, n) == F.substring(right, nb - q - n + 1, n),
+        )
+        return _let(suffix, lambda q: F.struct(F.substring(left, F.lit(1), na - q).alias("a"), F.substring(right, F.lit(1), nb - q).alias("b")))
+
+    prefix = _common(F.least(F.char_length(a), F.char_length(b)), lambda p, n: F.substring(a, p + 1, n) == F.substring(b, p + 1, n))
+    rest = _let(prefix, lambda p: F.struct(F.substring(a, p + 1, F.char_length(a)).alias("a"), F.substring(b, p + 1, F.char_length(b)).alias("b")))
+    return _let(rest, without_suffix)
 
 
 def banded_edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -244,7 +273,7 @@ def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def near_lines(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = HOT_SEGMENT) -> DataFrame:
     """(a, b): ids of the distinct lines within the edits of a's band, a's line no longer than b's; every pair once."""
     long = lines.where(F.col("length") >= slices(bands)[0][0]).select("id", "line", "length")
-    index, probe = index_keys(long, bands), probe_keys(long, bands)
+    index, probe = cut_lineage(index_keys(long, bands), "segment-index"), probe_keys(long, bands)
     once = F.expr("a <> b and (na < nb or (na = nb and a < b))") & (F.col("nb") - F.col("na") <= allowed_edits(F.col("na"), bands))
     crowded = cut_lineage(
         index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / (16 * max(1, hot))).cast("int").alias("parts")),
@@ -268,18 +297,23 @@ def near_lines(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot
     )
     few = ids.count() <= BROADCAST_IDS
     texts = store(long.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "candidate-texts")
-    a = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("length").alias("na"))
-    b = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("length").alias("nb"))
-    fits = _by_band(F.col("na"), bands, lambda edits: enough_fine_segments(F.col("la"), F.col("lb"), edits))
-    # index rows of crowded segments are dealt into parts, probes go to every part, and only fitting pairs come out
+    counts = cut_lineage(texts.select("id", F.col("length").alias("n"), character_counts(F.col("line")).alias("c")), "candidate-counts")
+    a = counts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    b = counts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    like = like_counts(F.col("ca"), F.col("cb"), allowed_edits(F.col("na"), bands))
+    # index rows of crowded segments are dealt into parts, probes go to every part, and only pairs of like counts come out
     left = hot_index.select("key", "a", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part")).join(a, "a")
     right = hot_probe.select("key", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(b, "b")
-    paired = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & once & fits)
-    checked = cold.join(a, "a").join(b, "b").where(once & fits)
-    columns = ["a", "b", "na", "la", "lb"]
-    both = checked.select(columns).union(paired.select(columns)).dropDuplicates(["a", "b"])
-    near = _by_band(F.col("na"), bands, lambda edits: banded_edit_distance(F.col("la"), F.col("lb"), edits) <= edits)
-    return cut_lineage(both.where(near).select("a", "b"), "near-lines")
+    paired = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & once & like)
+    checked = cold.join(a, "a").join(b, "b").where(once & like)
+    pairs = cut_lineage(checked.select("a", "b", "na").union(paired.select("a", "b", "na")).distinct(), "like-lines")
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+    near = _let(
+        stripped(F.col("la"), F.col("lb")),
+        lambda rest: _by_band(F.col("na"), bands, lambda edits: banded_edit_distance(rest["a"], rest["b"], edits) <= edits),
+    )
+    return cut_lineage(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "near-lines")
 
 
 def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:

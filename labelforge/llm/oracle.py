@@ -3,6 +3,60 @@
 from __future__ import annotations
 
 ORACLE_SQL: dict[str, str] = {
+    # levenshtein counts bytes: letters beyond ASCII get bytes that no line holds
+    "op5_line_dedup": r"""
+        WITH letters AS (
+          SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS beyond FROM (SELECT unnest(regexp_extract_all(text, '[^\x00-\x7F]')) AS c FROM documents)
+        ), split AS (
+          SELECT doc_id, unnest(lines) AS raw, generate_subscripts(lines, 1) - 1 AS line_no
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+        ), long AS (
+          SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM split
+          WHERE length(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) >= 20
+        ), firsts AS (
+          SELECT line, min((doc_id, line_no)) AS place, length(line) AS n, CASE WHEN length(line) >= 120 THEN 4 WHEN length(line) >= 40 THEN 2 END AS edits,
+             translate(line, any_value(beyond), (SELECT string_agg(chr(x::INT), '' ORDER BY x) FROM (SELECT unnest(range(1, 9) || range(14, 32)) AS x))) AS narrow
+          FROM long, letters GROUP BY line
+        )
+        , counted AS (
+            SELECT *, n - length(replace(line, 'e', '')) AS n_e,
+                   n - length(replace(line, 'n', '')) AS n_n,
+                   n - length(replace(line, 'a', '')) AS n_a,
+                   n - length(replace(line, 't', '')) AS n_t,
+                   n - length(replace(line, 'r', '')) AS n_r,
+                   n - length(replace(line, 'h', '')) AS n_h,
+                   n - length(replace(line, 'o', '')) AS n_o,
+                   n - length(replace(line, 's', '')) AS n_s
+            FROM firsts WHERE edits IS NOT NULL
+        ), pairs AS (
+          SELECT a.place AS pa, b.place AS pb FROM counted AS a JOIN counted AS b
+            ON b.n BETWEEN a.n AND a.n + a.edits AND (a.n < b.n OR a.place < b.place)
+          WHERE CASE WHEN abs(a.n_e - b.n_e) <= a.edits
+                     AND abs(a.n_n - b.n_n) <= a.edits
+                     AND abs(a.n_a - b.n_a) <= a.edits
+                     AND abs(a.n_t - b.n_t) <= a.edits
+                     AND abs(a.n_r - b.n_r) <= a.edits
+                     AND abs(a.n_h - b.n_h) <= a.edits
+                     AND abs(a.n_o - b.n_o) <= a.edits
+                     AND abs(a.n_s - b.n_s) <= a.edits
+                THEN levenshtein(a.narrow, b.narrow) <= a.edits ELSE false END
+        ), ends AS (
+          SELECT pa AS place, pb AS other FROM pairs UNION ALL SELECT pb, pa FROM pairs
+        ), marked AS (
+          SELECT place, count(*) AS links, bool_or(other < place) AS late FROM ends GROUP BY place
+        ), decided AS (
+          SELECT l.doc_id, l.line_no, f.place = (l.doc_id, l.line_no) AS is_first, coalesce(m.late, false) AS late, coalesce(m.links, 0) AS links
+          FROM long AS l JOIN firsts AS f USING (line) LEFT JOIN marked AS m ON m.place = f.place
+        ), report AS (
+          SELECT doc_id, count(*) FILTER (NOT is_first OR late) AS n_removed, count(*) FILTER (is_first AND late) AS n_near_removed,
+            string_agg(line_no, ',' ORDER BY line_no) FILTER (NOT is_first OR late) AS removed_lines,
+            sum(CASE WHEN is_first THEN links ELSE 0 END) AS near_links
+          FROM decided GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(string_split(coalesce(d.text, ''), chr(10))) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_near_removed, 0) AS n_near_removed,
+          coalesce(removed_lines, '') AS removed_lines, coalesce(near_links, 0)::BIGINT AS near_links
+        FROM documents AS d LEFT JOIN report AS r USING (doc_id)
+    """,
     "op8_exact_dedup": r"""
         WITH norm AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents

@@ -31,7 +31,7 @@ def mutated(text, n, alphabet="abé"):
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
-def test_banded_distance_and_fine_segments(spark, edits):
+def test_banded_distance_counts_and_stripping(spark, edits):
     random.seed(edits)
     rows = [("", "", 0), ("", "a", 1)]
     while len(rows) < 400:
@@ -41,14 +41,22 @@ def test_banded_distance_and_fine_segments(spark, edits):
             rows.append((a, b, edit_distance(a, b)))
     df = spark.createDataFrame(rows, "a string, b string, exact int")
     near = L.banded_edit_distance(F.col("a"), F.col("b"), edits)
-    fine = L.enough_fine_segments(F.col("a"), F.col("b"), edits, 6)
-    for r in df.select("exact", near.alias("near"), fine.alias("fine")).collect():
-        assert (r.near == r.exact) if r.exact <= edits else r.near > edits
-        assert r.fine or r.exact > edits
+    like = L.like_counts(L.character_counts(F.col("a")), L.character_counts(F.col("b")), F.lit(edits))
+    df = df.select("*", near.alias("near"), like.alias("like"), L.stripped(F.col("a"), F.col("b")).alias("rest"))
+    rest = L.banded_edit_distance(F.col("rest.a"), F.col("rest.b"), edits)
+    for r in df.select("*", rest.alias("of_rest")).collect():
+        assert (r.near == r.exact == r.of_rest) if r.exact <= edits else min(r.near, r.of_rest) > edits
+        assert r.like or r.exact > edits
+        a, b = r.a, r.b
+        while a and b and a[0] == b[0]:
+            a, b = a[1:], b[1:]
+        while a and b and a[-1] == b[-1]:
+            a, b = a[:-1], b[:-1]
+        assert (r.rest.a, r.rest.b) == (a, b)
 
 
 def brute(rows, edits=2, min_chars=20, near_chars=40):
-    """First places of distinct lines, near links between them, and the removed line numbers per doc_id."""
+    """Removed line numbers, near-removed ones, near links per doc_id, and near links."""
     first, lines = {}, {}
     for doc_id, text in rows:
         for no, raw in enumerate((text or "").split("\n")):
@@ -59,21 +67,33 @@ def brute(rows, edits=2, min_chars=20, near_chars=40):
                 lines.setdefault((doc_id, no), set()).add(line)
     long = sorted((x for x in first if len(x) >= near_chars), key=len)
     order = lambda x: (first[x][0], first[x][1] or 0, first[x][2])
-    late, links = set(), 0
+    late, links, ends = set(), 0, {}
     for i, a in enumerate(long):
         for b in long[i + 1 :]:
             if len(b) - len(a) <= edits and edit_distance(a, b) <= edits:
                 links += 1
+                for x in (a, b):
+                    ends[first[x][1]] = ends.get(first[x][1], 0) + 1
                 late.add(max(a, b, key=order))
     kept = {(p[1], p[2]) for x, p in first.items() if x not in late}
-    return {k for k in lines if k not in kept}, links
+    near = {(first[x][1], first[x][2]) for x in late}
+    return {k for k in lines if k not in kept}, near, ends, links
 
 
 def check(spark, df, rows, **options):
-    gone, links = brute(rows, **options)
+    gone, near, ends, links = brute(rows, **options)
     report = L.line_report(df).collect()
-    for r in report:
-        assert r.removed_lines == ",".join(str(n) for _, n in sorted(((d, n) for d, n in gone if d == r.doc_id), key=lambda x: x[1])) or r.n_removed
+    assert len(report) == len(rows)
+    exp = []
+    for doc_id, text in rows:
+        # rows that repeat an id are one document: a row has the removed numbers that it reaches
+        lines = (text or "").split("\n")
+        long = [n for n, x in enumerate(lines) if len(x.strip(" \t\r\x0b\x0c")) >= 20]
+        removed = [n for n in long if (doc_id, n) in gone]
+        late = [n for n in long if (doc_id, n) in near]
+        exp.append((doc_id, len(lines), len(removed), len(late), ",".join(map(str, removed)), ends.get(doc_id, 0)))
+    got = [(r.doc_id, r.n_lines, r.n_removed, r.n_near_removed, r.removed_lines, r.near_links) for r in report]
+    assert sorted(got, key=str) == sorted(exp, key=str)
     left = {}
     for doc_id, text in rows:
         kept = [x for no, x in enumerate((text or "").split("\n")) if (doc_id, no) not in gone or len(x.strip(" \t\r\x0b\x0c")) < 20]
@@ -130,8 +150,11 @@ def test_no_python_on_the_main_path(spark, capsys):
         assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))
 
 
+LONGER = (*L.BANDS, (240, 8), (960, 16))  # the operator takes any bands
+
+
 def allowed(n):
-    return max(e for low, e in L.BANDS if n >= low)
+    return max(e for low, e in LONGER if n >= low)
 
 
 def within(a, b, most):
@@ -156,7 +179,7 @@ def test_longer_lines_match_all_pairs_of_their_band(spark, letters, hot):
     lines = sorted({mutated(b, random.randint(0, allowed(len(b)) + 2), letters).strip() for b in base for _ in range(5)} | set(base))
     table = L.distinct_lines(from_texts(spark, ["\n".join(lines)]))
     ids = {r.line: r.id for r in table.collect()}
-    got = {frozenset((r.a, r.b)) for r in L.near_lines(table, hot=hot).collect()}
+    got = {frozenset((r.a, r.b)) for r in L.near_lines(table, LONGER, hot=hot).collect()}
     long = sorted(ids, key=len)
     exp = {
         frozenset((ids[a], ids[b]))
@@ -170,7 +193,9 @@ def test_longer_lines_match_all_pairs_of_their_band(spark, letters, hot):
 def test_one_replaced_word_makes_a_long_line_near(spark):
     words = [f"term{i * i}" for i in range(60)]
     line = " ".join(words)
+    short = " ".join([*words[:30], "tired900", *words[31:]])
     other = " ".join([*words[:30], "replaced", *words[31:]])
-    assert edit_distance(line, other) > L.EDITS
-    got = {r.doc_id: r.n_near_removed for r in L.line_report(from_texts(spark, [line, other])).collect()}
-    assert got == {0: 0, 1: 1}
+    assert L.EDITS < edit_distance(line, short) <= 4 < edit_distance(line, other)
+    for options, exp in (({}, {0: 0, 1: 1, 2: 0}), ({"bands": LONGER}, {0: 0, 1: 1, 2: 1})):
+        got = {r.doc_id: r.n_near_removed for r in L.line_report(from_texts(spark, [line, short, other]), **options).collect()}
+        assert got == exp

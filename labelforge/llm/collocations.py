@@ -2,11 +2,12 @@
 
 Texts become blocks of word numbers. A block knows its distinct words, so words
 are counted and numbered once a block, not once an occurrence. Words below the
-minimum count turn into breaks: by the Apriori rule no candidate holds them.
+minimum count turn into breaks: by the Apriori rule no candidate holds them. The
+other words' ids reach the blocks by broadcasts of bounded size.
 
 Candidates grow word by word. Where two candidates of k - 1 words overlap in
-k - 2, the text holds a possible candidate of k words; a block sends each of its
-distinct ones once with its own count, and Spark adds these up, so that only
+k - 2, the text holds a possible candidate of k words; a task sends its distinct
+ones with their counts to ranges of their hashes, which add them up, so that only
 phrases that can reach the minimum count enter a trie: the pairs that merely
 occur are about as many as the text's words. Tries are built in tasks, each for a
 bounded number of phrases, and broadcast a bounded number at a time; numpy
@@ -21,7 +22,6 @@ scores use. Scores and the containment rule are DataFrame expressions.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelforge.llm.common import store, whole_text
+from labelforge.llm.common import parallelism, store, whole_text
 
 #: Least occurrences of a candidate phrase.
 MIN_COUNT = 100
@@ -47,12 +47,21 @@ TOP = 2000
 CONTAINED_SHARE = 100
 
 #: Words of text in one block, and phrases in one trie.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 SHARD_PHRASES = 1 << 16
 
 #: Tries that are broadcast together; each has at most MAX_WORDS * SHARD_PHRASES states.
 ROUND_SHARDS = 8
 
+#: Frequent words that are broadcast together, about.
+ROUND_WORDS = 1 << 19
+
+#: Possible candidates that a task gathers before it sends them, and words of text for one range of them.
+MESSAGE_KEYS = 1 << 21
+RANGE_WORDS = 1 << 23
+
+_ROWS = 1 << 17
+
 # What ends a piece, and the language of rows that name none.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 NO_LANG = "und"
@@ -87,21 +96,22 @@ class _Numbers(dict):
         return number
 
 
-_BLOCK = "block string, codes binary, langs array<string>, words array<string>, counts array<long>"
+#: A block's codes count its words from 1; ``lang`` has the number in ``langs`` of each word's language.
+_BLOCK = "codes binary, langs array<string>, lang binary, words binary, ids binary"
 
 
 def _blocks(limit: int):
-    """Blocks of a partition's texts. Codes count from 1 in the order of ``words``; 0 stands between pieces and texts."""
+    """Blocks of a partition's texts; a break, code 0, stands between pieces and texts."""
 
     def closed(parts: list[np.ndarray], words: list) -> pd.DataFrame:
-        codes = np.concatenate(parts)
-        counts = np.bincount(codes, minlength=len(words) + 1)[1:]
+        langs = {lang: None for lang, _ in words}
+        number = {lang: i for i, lang in enumerate(langs)}
         row = {
-            "block": uuid.uuid4().hex,
-            "codes": _pack(codes),
-            "langs": [lang for lang, _ in words],
-            "words": [word.decode("utf-8") for _, word in words],
-            "counts": counts.tolist(),
+            "codes": _pack(np.concatenate(parts)),
+            "langs": list(langs),
+            "lang": _pack(np.array([number[lang] for lang, _ in words], dtype=np.int32)),
+            "words": zstandard.compress(b"\n".join([word for _, word in words]), 1),
+            "ids": None,
         }
         return pd.DataFrame([row])
 
@@ -125,6 +135,17 @@ def _blocks(limit: int):
     return run
 
 
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, word, n): each word of a block once."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            words = zstandard.decompress(row.words).decode("utf-8").split("\n")
+            lang = np.array(list(row.langs), dtype=object)[_unpack(row.lang, "<i4")]
+            n = np.bincount(_unpack(row.codes, "<i4"), minlength=len(words) + 1)[1:]
+            for at in range(0, len(words), _ROWS):
+                yield pd.DataFrame({"lang": lang[at : at + _ROWS], "word": words[at : at + _ROWS], "n": n[at : at + _ROWS]})
+
+
 def _trimmed(codes: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Places that stay: the kept words, and one break wherever something went."""
     stay = keep.copy()
@@ -132,20 +153,38 @@ def _trimmed(codes: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return np.flatnonzero(stay)
 
 
-def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
+def _look_up(packed):
+    """Corpus ids of a block's words, -1 for those of no round so far."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, dict[bytes, int]] = {}
+        langs, words, numbers = packed.value
+        for lang, word, number in zip(langs, words.split(b"\n"), _unpack(numbers, "<i8").tolist()):
+            known.setdefault(lang, {})[word] = number
+        for batch in batches:
+            for i, row in enumerate(batch.itertuples(index=False)):
+                words = zstandard.decompress(row.words).split(b"\n")
+                ids = np.full(len(words), -1, np.int64) if row.ids is None else _unpack(row.ids, "<i8").copy()
+                of_lang = [known.get(lang, {}) for lang in row.langs]
+                found = [of_lang[k].get(word, -1) for k, word in zip(_unpack(row.lang, "<i4").tolist(), words)]
+                batch.at[batch.index[i], "ids"] = _pack(np.maximum(ids, found))
+            yield batch
+
+    return run
+
+
+def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A block's frequent words by their corpus ids; other words become breaks."""
-    out = []
-    for row in pdf.itertuples(index=False):
-        codes = _unpack(row.codes, "<i4")
-        places = np.array([n["number"] for n in row.frequent], dtype=np.int64)
-        ids = np.array([n["id"] for n in row.frequent], dtype=np.int64)
-        order = np.argsort(ids)
-        new = np.zeros(int(codes.max(initial=0)) + 1, dtype=np.int32)
-        new[places[order]] = np.arange(1, len(ids) + 1)
-        codes = new[codes]
-        codes = codes[_trimmed(codes, codes > 0)]
-        out.append((_pack(codes), _pack(ids[order]), None))
-    return pd.DataFrame(out, columns=["codes", "ids", "marks"])
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            codes, ids = _unpack(row.codes, "<i4"), _unpack(row.ids, "<i8")
+            places = np.flatnonzero(ids >= 0)
+            order = places[np.argsort(ids[places])]
+            new = np.zeros(len(ids) + 1, dtype=np.int32)
+            new[order + 1] = np.arange(1, len(order) + 1)
+            codes = new[codes]
+            codes = codes[_trimmed(codes, codes > 0)]
+            yield pd.DataFrame([(_pack(codes), _pack(ids[order]), None)], columns=["codes", "ids", "marks"])
 
 
 #: ``codes`` index ``ids`` from 1; ``marks`` holds at each place the id of the candidate that starts there, or -1.
@@ -153,23 +192,88 @@ def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
 _CODED = "codes binary, ids binary, marks binary"
 
 
-def _extensions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(phrase, word, n): each possible candidate of a block once, with its occurrences there.
+def _planes(numbers: np.ndarray) -> bytes:
+    """Compressed bytes, the first of all numbers before the second of all: high ones repeat."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(bytes(data)), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _summed(phrase: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, in order, with its sum."""
+    order = np.lexsort((word, phrase))
+    phrase, word = phrase[order], word[order]
+    first = np.flatnonzero(np.concatenate([[True], (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])]))
+    return phrase[first], word[first], np.add.reduceat(n[order], first)
+
+
+def _block_extensions(row, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(phrases, words, counts): each possible candidate of a block once, with its occurrences there.
 
     The candidate at a place grows by the word after it if the candidate of the
     same length one place on, which ends with that word, stands there too.
     """
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            codes, ids = _unpack(row.codes, "<i4"), _unpack(row.ids, "<i8")
-            marks = np.concatenate([[-1], ids])[codes] if row.marks is None else _unpack(row.marks, "<i8")
-            length = int(row.length)
-            if len(codes) <= length:
-                continue
-            here = np.flatnonzero((marks[:-length] >= 0) & (marks[1 : len(marks) - length + 1] >= 0) & (codes[length:] > 0))
-            known, phrase = np.unique(marks[here], return_inverse=True)
-            pairs, n = np.unique(phrase.astype(np.int64) * (len(ids) + 1) + codes[here + length], return_counts=True)
-            yield pd.DataFrame({"phrase": known[pairs // (len(ids) + 1)], "word": ids[pairs % (len(ids) + 1) - 1], "n": n})
+    codes, ids = _unpack(row.codes, "<i4"), _unpack(row.ids, "<i8")
+    if len(codes) <= length:
+        return None
+    if row.marks is None:
+        here = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
+        known, phrase = ids, codes[here].astype(np.int64) - 1
+    else:
+        marks = _unpack(row.marks, "<i8")
+        here = np.flatnonzero((marks[:-length] >= 0) & (marks[1 : len(marks) - length + 1] >= 0) & (codes[length:] > 0))
+        known, phrase = np.unique(marks[here], return_inverse=True)
+    pairs, n = np.unique(phrase * (len(ids) + 1) + codes[here + length], return_counts=True)
+    first, then = np.divmod(pairs, len(ids) + 1)
+    return (known[first], ids[then - 1], n) if len(pairs) else None
+
+
+def _extensions(length: int, ranges: int):
+    """Messages of a task's possible candidates to ranges of their hashes."""
+
+    def sent(held: list[tuple]) -> pd.DataFrame:
+        phrase, word, n = _summed(*(np.concatenate(x) for x in zip(*held)))
+        mixed = (phrase.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ word.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        to = ((mixed >> np.uint64(33)) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(ranges + 1))
+        rows = [
+            (r, _planes(phrase[order[s:e]]), _planes(word[order[s:e]]), _planes(n[order[s:e]]))
+            for r, (s, e) in enumerate(zip(cuts[:-1], cuts[1:]))
+            if e > s
+        ]
+        return pd.DataFrame(rows, columns=["range", "phrases", "words", "counts"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                found = _block_extensions(row, length)
+                if found is None:
+                    continue
+                held.append(found)
+                size += len(found[0])
+                if size >= MESSAGE_KEYS:
+                    yield sent(held)
+                    held, size = [], 0
+        if held:
+            yield sent(held)
+
+    return run
+
+
+def _support(min_count: int):
+    """The candidates of one range that reach the minimum count."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        phrase, word, n = _summed(*(np.concatenate([_unplanes(x) for x in pdf[c]]) for c in ("phrases", "words", "counts")))
+        kept = n >= min_count
+        return pd.DataFrame({"phrase": phrase[kept], "word": word[kept]})
+
+    return run
 
 
 def double_array(phrases: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +345,9 @@ def advance(codes: np.ndarray, ids: np.ndarray, trie: tuple, words: int) -> Iter
     at = np.searchsorted(symbols, ids)
     known = at < len(symbols)
     known[known] = symbols[at[known]] == ids[known]
-    symbol = np.concatenate([[0], np.where(known, at + 1, 0)])[codes]
-    places, states = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    symbol = np.concatenate([[0], np.where(known, at + 1, 0)]).astype(np.int32)[codes]
+    places = np.flatnonzero(symbol).astype(np.int32)
+    states = np.zeros(len(places), np.int32)
     for step in range(words):
         inside = places + step < len(codes)
         places, states = places[inside], states[inside]
@@ -288,19 +393,20 @@ def _mark(packed, words: int, last: bool):
 
 
 def _count(packed, words: int):
-    """(id, n): occurrences in a block of every phrase of the tries."""
+    """(id, n): occurrences in a task's blocks of every phrase of the tries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries = _opened(packed.value)
+        counts = [np.zeros(len(base), np.int64) for _, base, *_ in tries]
         for batch in batches:
             for row in batch.itertuples(index=False):
                 codes, ids = _unpack(row.codes, "<i4"), _unpack(row.ids, "<i8")
-                for *trie, numbers in tries:
-                    n = np.zeros(len(trie[1]), np.int64)
+                for n, (*trie, _) in zip(counts, tries):
                     for _, states in advance(codes, ids, trie, words):
                         n += np.bincount(states, minlength=len(n))
-                    seen = np.flatnonzero((n > 0) & (trie[3] >= 0))
-                    yield pd.DataFrame({"id": numbers[trie[3][seen]], "n": n[seen]})
+        for n, (*trie, numbers) in zip(counts, tries):
+            seen = np.flatnonzero((n > 0) & (trie[3] >= 0))
+            yield pd.DataFrame({"id": numbers[trie[3][seen]], "n": n[seen]})
 
     return run
 
@@ -312,6 +418,15 @@ def _tries(phrases: DataFrame, shard_phrases: int) -> DataFrame:
     return store(dealt.groupBy("shard").applyInPandas(_trie, _TRIE), "tries")
 
 
+def _vocabularies(words: DataFrame) -> Iterator[tuple]:
+    """Broadcasts of about ROUND_WORDS words each, at least one, and whether it is the last one."""
+    rounds = max(1, -(-words.count() // ROUND_WORDS))
+    for number in range(rounds):
+        rows = words.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == number).select("lang", "word", "id").toPandas()
+        data = rows["lang"].tolist(), "\n".join(rows["word"]).encode("utf-8"), _pack(rows["id"].to_numpy(np.int64))
+        yield words.sparkSession.sparkContext.broadcast(data), number + 1 == rounds
+
+
 def _rounds(tries: DataFrame) -> Iterator[tuple]:
     """Broadcasts of at most ROUND_SHARDS tries each, and whether it is the last one."""
     numbers = sorted(r["shard"] for r in tries.select("shard").collect())
@@ -332,24 +447,28 @@ def phrase_counts(
     """((lang, phrase, n_words, f) of words and candidates, (lang, n) of all word occurrences)."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), whole_text().alias("text"))
     blocks = store(rows.mapInPandas(_blocks(block_words), _BLOCK), "phrase-blocks")
-    each = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("number", "w"))
-    each = each.select("block", F.col("number") + 1, F.col("w.langs"), F.col("w.words"), F.col("w.counts")).toDF("block", "number", "lang", "word", "n")
+    each = blocks.mapInPandas(_word_counts, "lang string, word string, n long")
     totals = store(each.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
     sizes = totals.groupBy("lang").agg(F.sum("f").alias("n"))
     words = store(totals.where(F.col("f") >= min_count).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "frequent-words")
-    known = each.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("frequent"))
-    coded = blocks.select("block", "codes").join(known, "block").select("codes", "frequent")
-    coded = store(coded.mapInPandas(lambda batches: map(_numbered, batches), _CODED), "coded-blocks")
+    for packed, last in _vocabularies(words):
+        known = blocks.mapInPandas(_look_up(packed), _BLOCK)
+        if last:
+            coded = store(known.select("codes", "ids").mapInPandas(_numbered, _CODED), "coded-blocks")
+        else:
+            blocks = store(known, "phrase-blocks")
+        packed.destroy()
 
     grown = words.select("id", F.array("id").alias("words"), "lang", F.col("word").alias("phrase"))
+    all_words = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    ranges = max(parallelism(docs.sparkSession), -(-all_words // RANGE_WORDS))
     levels, covered = [], None
     for length in range(1, max_words):
-        asked = coded.select("*", F.lit(length).alias("length"))
-        support = asked.mapInPandas(_extensions, "phrase long, word long, n long").groupBy("phrase", "word").agg(F.sum("n").alias("n"))
+        sent = coded.mapInPandas(_extensions(length, ranges), "range long, phrases binary, words binary, counts binary")
+        support = sent.groupBy("range").applyInPandas(_support(min_count), "phrase long, word long")
         last = words.select(F.col("id").alias("word"), F.col("word").alias("ending"))
         found = (
-            support.where(F.col("n") >= min_count)
-            .join(grown.withColumnRenamed("phrase", "start").withColumnRenamed("id", "phrase"), "phrase")
+            support.join(grown.withColumnRenamed("phrase", "start").withColumnRenamed("id", "phrase"), "phrase")
             .join(last, "word")
             .select(
                 (F.monotonically_increasing_id() * max_words + length).alias("id"),

@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_registered():
     names = entry.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(oracle.ORACLE_SQL) <= set(entry.oracle_sql())
 
 

@@ -7,7 +7,9 @@ then replayed in rank order: each takes its positions from the index and
 touches only the left and right neighbour of every merged pair. So a piece is
 encoded once however often the corpus repeats it, and a merge costs its
 occurrences, not a pass over the words. Runs are bounded by characters, and the
-table of encoded pieces by entries, so memory doesn't grow with a partition.
+tables of encoded pieces and of known merges by bytes, so memory doesn't grow
+with a partition. Encoding and decoding are one step, so a core keeps one worker
+with one vocabulary.
 
 The vocabulary is read once on the driver and broadcast: a rank file has a
 fixed size, which is checked against ``MAX_VOCABULARY_BYTES``.
@@ -31,10 +33,14 @@ from pyspark.sql import functions as F
 MAX_VOCABULARY_BYTES = 64 << 20
 
 #: Characters of text whose pieces are replayed together.
-RUN_CHARS = 1 << 21
+RUN_CHARS = 1 << 20
 
-#: Pieces remembered by a worker; beyond it the table starts afresh.
-MEMORY_PIECES = 500_000
+#: Bytes of encoded pieces, and pairs with their merges, that a worker remembers; beyond it a table starts afresh.
+MEMORY_BYTES = 48 << 20
+MEMORY_PAIRS = 1 << 18
+
+#: Bytes that an entry of the table of pieces takes besides its piece and ids, about.
+_ENTRY_BYTES = 220
 
 
 class MergeReplay:
@@ -47,12 +53,13 @@ class MergeReplay:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self._merge_of: dict[tuple[int, int], int] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def merge_of(self, pair: tuple[int, int]) -> int:
         """The id that a pair merges to, or -1."""
         found = self._merge_of.get(pair)
         if found is None:
-            if len(self._merge_of) > 2 * MEMORY_PIECES:
+            if len(self._merge_of) >= MEMORY_PAIRS:
                 self._merge_of.clear()
             found = self._merge_of[pair] = self.ranks.get(self.tokens[pair[0]] + self.tokens[pair[1]], -1)
         return found
@@ -148,12 +155,14 @@ class MergeReplay:
             ids[k] = found
         for piece, found in zip(fresh, ids):
             self.pieces[piece] = np.array(found, dtype="<u4").tobytes()
+            self.held += _ENTRY_BYTES + len(piece) + 4 * len(found)
 
     def encode(self, texts: list[str], pattern: regex.Pattern) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [pattern.findall(t) for t in texts]
-        if len(self.pieces) > MEMORY_PIECES:
+        if self.held > MEMORY_BYTES:
             self.pieces.clear()
+            self.held = 0
         self.learn(dict.fromkeys(p for pieces in cut for p in pieces))
         known = self.pieces
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
@@ -190,29 +199,40 @@ class BytePairTokenizer:
         self._ranks = spark.sparkContext.broadcast(ranks)
         self._pattern = pattern
 
+    def _coded(self, texts: Iterator[pd.Series], decode: bool) -> Iterator[tuple[list, list]]:
+        """(ids, decoded bytes) of runs of texts of about RUN_CHARS characters; they needn't match the batches."""
+        replay, pattern = _loaded(self._ranks.value), regex.compile(self._pattern)
+        for batch in texts:
+            held: list[str | None] = []
+            size = 0
+            for place, text in enumerate(batch, 1):
+                held.append(text)
+                size += len(text or "")
+                if size >= RUN_CHARS or place == len(batch):
+                    found = replay.encode([t or "" for t in held], pattern)
+                    ids = [None if t is None else x for t, x in zip(held, found)]
+                    yield ids, [None if x is None else replay.decode(x) for x in ids] if decode else []
+                    held, size = [], 0
+
     def encode(self, text: Column) -> Column:
         """Binary column: the ids as little-endian unsigned 32-bit integers. Null gives null, empty gives none."""
-        ranks, source = self._ranks, self._pattern
+        coded = self._coded
 
         @F.pandas_udf("binary")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            replay, pattern = _loaded(ranks.value), regex.compile(source)
-            for texts in batches:
-                out: list[bytes | None] = []
-                held: list[str] = []
-                size = 0
-                for text in texts:
-                    held.append(text)
-                    size += len(text or "")
-                    if size >= RUN_CHARS:
-                        out += coded(replay, pattern, held)
-                        held, size = [], 0
-                out += coded(replay, pattern, held)
-                yield pd.Series(out, dtype=object)
-
-        def coded(replay: MergeReplay, pattern: regex.Pattern, texts: list) -> list:
-            found = replay.encode([t or "" for t in texts], pattern)
-            return [None if t is None else ids for t, ids in zip(texts, found)]
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for ids, _ in coded(texts, False):
+                yield pd.Series(ids, dtype=object)
+
+        return run(text)
+
+    def encode_and_decode(self, text: Column) -> Column:
+        """Struct column (ids, decoded): the ids as by ``encode``, and the bytes that they decode to (null for null)."""
+        coded = self._coded
+
+        @F.pandas_udf("ids binary, decoded binary")
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for ids, decoded in coded(texts, True):
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
 
         return run(text)
 

@@ -47,8 +47,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = BytePairTokenizer(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(whole_text()).alias("ids"))
-    both = coded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_and_decode(whole_text()).alias("coded"))
+    both = coded.select("doc_id", "coded.ids", "coded.decoded")
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from labelforge.llm import bpe as bpe_module
 from labelforge.llm.bpe import BytePairTokenizer, MergeReplay
 from tests.llm.data import ROWS, awkward, empty
 
@@ -81,3 +82,31 @@ def test_columns_on_awkward_rows(spark):
 def test_empty_table(spark):
     bpe = BytePairTokenizer(spark, PATHS[0], public_tokenizers.PATTERN)
     assert empty(spark).select(bpe.decode(bpe.encode(F.col("text"))).alias("x")).collect() == []
+
+
+def test_one_step_over_several_runs(spark):
+    """Texts beyond one run of characters in a batch: slices come back in order."""
+    bpe, exp = BytePairTokenizer(spark, PATHS[0], public_tokenizers.PATTERN), library(PATHS[0])
+    rows = [(i, None if i == 3 else f"row {i} é " * (90_000 if i % 2 else 3)) for i in range(8)]
+    coded = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = coded.select("doc_id", bpe.encode_and_decode(F.col("text")).alias("c")).select("doc_id", "c.*").collect()
+    for r in sorted(got):
+        text = dict(rows)[r.doc_id]
+        if text is None:
+            assert r.ids is None and r.decoded is None
+        else:
+            assert bytes(r.decoded).decode() == text
+            assert bytes(r.ids) == np.array(exp.encode_ordinary(text), "<u4").tobytes()
+
+
+def test_tables_stay_within_their_bytes():
+    replay = MergeReplay(open(PATHS[0], "rb").read())
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    old, bpe_module.MEMORY_BYTES = bpe_module.MEMORY_BYTES, 100_000
+    try:
+        for i in range(40):
+            text = " ".join(f"w{i}x{k}" for k in range(100))
+            assert replay.decode(replay.encode([text], pattern)[0]) == text.encode()
+            assert replay.held <= 100_000 + 400 * 230
+    finally:
+        bpe_module.MEMORY_BYTES = old

@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 MAX_VOCABULARY_BYTES = 64 << 20
 
 #: Characters of text whose pieces are replayed together.
-RUN_CHARS = 1 << 20
+RUN_CHARS = 1 << 21
 
 #: Bytes of encoded pieces, and pairs with their merges, that a worker remembers; beyond it a table starts afresh.
-MEMORY_BYTES = 48 << 20
+MEMORY_BYTES = 128 << 20
 MEMORY_PAIRS = 1 << 18
 
 #: Bytes that an entry of the table of pieces takes besides its piece and ids, about.

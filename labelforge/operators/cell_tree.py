@@ -2,8 +2,9 @@
 
 The driver and every broadcast hold the branch centres only, ``BRANCHES`` at
 most whatever the corpus. A branch fits its leaf centres in a task, on at most
-``TRAIN_ROWS`` of its vectors; the centres stay a DataFrame. Vectors and queries
-meet the centres of their branches by cogroups, cut into parts of bounded size.
+``TRAIN_ROWS`` of its vectors; the centres stay a DataFrame. Vectors meet the
+centres of their branches by cogroups, cut into parts of bounded size; queries meet
+all leaf centres (four roots of the corpus) in the tasks that search.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from labelforge.operators.dense import global_topk
-from labelforge.operators.ivf import search_cells
+from labelforge.operators.dense import passing_topk
+from labelforge.operators.ivf import ROUTE_VALUES
 from labelforge.session import cut_lineage
 
 #: Branch centres, at most.
@@ -140,19 +141,40 @@ def build(doc_vecs: DataFrame, cells: int | None = None, seed: int = 42) -> Cell
     return CellTree(branches, leaves, cut_lineage(vectors.select("doc_id", "first_ord", "embedding", "cell"), "tree-cells"))
 
 
-def probe_cells(tree: CellTree, queries: DataFrame, probes: int, branches: int) -> DataFrame:
-    """(query_ord, qvec, cell): the best ``probes`` cells of ``queries(query_ord, qvec)`` in its best branches."""
+def _looks(vectors: np.ndarray, branches: np.ndarray, cells: np.ndarray, centres: np.ndarray, probes: int, p: int) -> np.ndarray:
+    """(vectors, cells) matrix: a vector's best ``probes`` cells among those of its best ``p`` branches."""
+    looks = np.zeros((len(vectors), len(cells)), bool)
+    step = max(1, ROUTE_VALUES // max(1, len(cells)))
+    for at in range(0, len(vectors), step):
+        some = vectors[at : at + step]
+        near = some @ centres.T
+        if p < len(branches):
+            mine = np.argsort(-(some @ branches.T), axis=1, kind="stable")[:, :p]
+            open_ = np.zeros((len(some), len(branches)), bool)
+            np.put_along_axis(open_, mine, True, axis=1)
+            near[~open_[:, cells >> 40]] = -np.inf
+        best = np.argsort(-near, axis=1, kind="stable")[:, : min(probes, len(cells))]
+        np.put_along_axis(looks[at : at + step], best, np.take_along_axis(near, best, axis=1) > -np.inf, axis=1)
+    return looks
+
+
+def search(
+    tree: CellTree, queries: DataFrame, top_k: int, probes: int, branches: int, query_block: int | None = None,
+    n_queries: int | None = None, n_docs: int | None = None, doc_block: int | None = None,
+) -> DataFrame:
+    """Top-k of ``queries(query_ord, embedding)`` among the probed cells; may return fewer than k documents.
+
+    The leaf centres go to every task as rows, ahead of the documents, and the task
+    routes its queries: no row per query and cell is made.
+    """
     shared = queries.sparkSession.sparkContext.broadcast(tree.branches)
     p = min(branches, len(tree.branches))
-    routed = queries.select("query_ord", "qvec", F.explode(_nearest_branches(shared, F.col("qvec"), p)).alias("branch"))
-    routed = cut_lineage(routed, "tree-probes")
-    near = _meet_leaves(routed.select(F.col("query_ord").alias("ord"), "branch", F.col("qvec").alias("vec")), tree.leaves, probes)
-    place = F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("near"), "cell"))
-    best = near.withColumn("place", place).where(F.col("place") <= probes).select(F.col("ord").alias("query_ord"), "cell")
-    return best.join(queries, "query_ord").select("query_ord", "qvec", "cell")
-
-
-def search(tree: CellTree, queries: DataFrame, top_k: int, probes: int, branches: int, **blocks) -> DataFrame:
-    """Top-k of ``queries(query_ord, embedding)`` among the probed cells; may return fewer than k documents."""
-    probed = probe_cells(tree, queries.select("query_ord", F.col("embedding").alias("qvec")), probes, branches)
-    return global_topk(search_cells(tree.vectors, cut_lineage(probed, "probed-cells"), int(top_k), **blocks), int(top_k))
+
+    def probe(vectors: np.ndarray, cells: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(cells)
+        cells, centres = cells[order], centres[order]
+        return cells, _looks(vectors, shared.value, cells, centres, probes, p)
+
+    n_queries = queries.count() if n_queries is None else n_queries
+    n_docs = tree.vectors.count() if n_docs is None else n_docs
+    return passing_topk(queries, tree.vectors, top_k, n_queries, n_docs, tree.branches.shape[1], query_block, probe, tree.leaves.select("cell", "centre"))

@@ -20,7 +20,6 @@ from labelforge.operators import reports
 from labelforge.session import checkpoint_dir, cut_lineage
 from labelforge.sources import driver
 from labelforge.sources.corpus import build_corpus
-from labelforge.sources.sink import read_table
 from labelforge.streaming import activity, expiry, mining
 from labelforge.streaming import submissions as sub_stream
 
@@ -76,15 +75,9 @@ def _lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark, "expiry")
 
-    def run(stream: DataFrame):
-        w = expiry.expiry_stream(stream).writeStream.outputMode("append").format("parquet")
-        w = w.option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
-        return w.trigger(availableNow=True).start()
-
-    _replay(_lifecycle_events(spark, sf), "ts", root, run)
-    out = read_table(spark, f"{root}/out", expiry.OUTPUT_SCHEMA)
-    if out is None:
-        out = spark.createDataFrame([], expiry.OUTPUT_SCHEMA)
+    timers = expiry.ExpiryTimers(root)
+    _replay(_lifecycle_events(spark, sf), "ts", root, lambda stream: expiry.start(stream, timers, f"{root}/ck"))
+    out = timers.outcomes(spark)
     return out.select("batch_id", "status", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 

@@ -166,11 +166,11 @@ def process(
     The run has five outputs that share the row decisions; with
     ``materialize`` the per-row and per-submission decisions are written once
     to the shared checkpoint folder and every output reads them (use it when
-    several outputs are written; a single output is cheaper lazily).
+    several outputs are written; a single output is cheaper lazily). The gate
+    is always written: the rows and the results read it, and it saves them a
+    pass over all submissions.
     """
-    g = gate(subs, batches)
-    if materialize:
-        g = cut_lineage(g, "sub-gate")
+    g = cut_lineage(gate(subs, batches), "sub-gate")
     ok_subs = g.where(F.col("gate") == "ok").select("submission_id")
     rows = subs.join(ok_subs, "submission_id", "left_semi")
 

@@ -342,6 +342,8 @@ def q_settle_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run(spark, sf, subs=None):
     t = _tables(spark, sf)
+    # the run reads the stored annotations several times: their window runs once
+    t["annotations"] = cut_lineage(t["annotations"], "annotations")
     contrib = reports.contributor_totals(driver.contributors_base(spark, sf), t["annotations"])
     subs = driver.run_submissions(spark, sf) if subs is None else subs
     return submissions.process(

@@ -83,7 +83,8 @@ def q_stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark, "submissions")
-    subs = driver.run_submissions(spark, sf)
+    # every slice and the slices' bounds read the submissions: their window runs once
+    subs = cut_lineage(driver.run_submissions(spark, sf), "submissions")
     # the stored tables the stream runs against, derived once
     ann = cut_lineage(driver.annotations(spark, sf), "annotations")
     sink = sub_stream.SubmissionSink(

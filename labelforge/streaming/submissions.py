@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from labelforge.operators import submissions as sub_ops
 from labelforge.operators.votes import apply_status
+from labelforge.session import cut_lineage
 from labelforge.sources.sink import read_table
 
 
@@ -88,12 +89,16 @@ class SubmissionSink:
                     annotations=ann, contributors=contrib)
 
     def touched(self, t: dict[str, DataFrame], micro: DataFrame) -> dict[str, DataFrame]:
-        """The state that a micro-batch can meet: its pairs' and its batches' annotations, nothing else of the history."""
-        pairs = micro.select("pair_id").distinct()
-        batches = micro.select("batch_id").distinct()
-        by_pair = t["annotations"].join(pairs, "pair_id", "left_semi")
-        by_batch = t["annotations"].join(batches, "batch_id", "left_semi").join(pairs, "pair_id", "left_anti")
-        return t | {"annotations": by_pair.unionByName(by_batch)}
+        """The state that a micro-batch can meet: its pairs' and its batches' annotations, nothing else of the history.
+
+        Of an annotation only what decisions are made of moves, and it is written
+        once a micro-batch: every step of the run reads it.
+        """
+        state = t["annotations"].select("pair_id", "contributor_id", "batch_id", "label", "input_tokens", "output_tokens")
+        pairs = micro.select("pair_id").distinct().withColumn("by_pair", F.lit(True))
+        batches = micro.select("batch_id").distinct().withColumn("by_batch", F.lit(True))
+        met = state.join(batches, "batch_id", "left").join(pairs, "pair_id", "left").where(F.col("by_pair") | F.col("by_batch"))
+        return t | {"annotations": cut_lineage(met.select(*state.columns), "touched-annotations")}
 
     def process_batch(self, micro: DataFrame, epoch_id: int) -> None:
         spark = micro.sparkSession
@@ -101,9 +106,8 @@ class SubmissionSink:
         # five outputs share the decisions: materialise them once per micro-batch
         run = sub_ops.process(micro, t["batches"], t["batch_pairs"], t["honeypots"], t["annotations"],
                               t["contributors"], t["pairs"], materialize=True)
-        accepted = run.rows.where("accepted").select("submission_id", "pos")
         new_ann = (
-            micro.join(accepted, ["submission_id", "pos"], "left_semi")
+            run.rows.where("accepted")
             .join(t["honeypots"].select("pair_id").withColumn("hp", F.lit(True)), "pair_id", "left")
             .select("pair_id", "contributor_id", "batch_id", F.col("label").cast("short").alias("label"), "model_id",
                     "quantization", "input_tokens", "output_tokens", "raw_response_hash",

@@ -47,7 +47,7 @@ TOP = 2000
 CONTAINED_SHARE = 100
 
 #: Words of text in one block, and phrases in one trie.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 SHARD_PHRASES = 1 << 16
 
 #: Tries that are broadcast together; each has at most MAX_WORDS * SHARD_PHRASES states.
@@ -57,8 +57,8 @@ ROUND_SHARDS = 8
 ROUND_WORDS = 1 << 19
 
 #: Possible candidates that a task gathers before it sends them, and words of text for one range of them.
-MESSAGE_KEYS = 1 << 21
-RANGE_WORDS = 1 << 23
+MESSAGE_KEYS = 1 << 19
+RANGE_WORDS = 1 << 21
 
 _ROWS = 1 << 17
 
@@ -205,9 +205,10 @@ def _unplanes(data: bytes) -> np.ndarray:
 def _summed(phrase: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each pair once, in order, with its sum."""
     order = np.lexsort((word, phrase))
-    phrase, word = phrase[order], word[order]
+    phrase, word, n = phrase[order], word[order], n[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])]))
-    return phrase[first], word[first], np.add.reduceat(n[order], first)
+    return phrase[first], word[first], np.add.reduceat(n, first)
 
 
 def _block_extensions(row, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:

@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from labelforge.llm import collocations as C
@@ -111,3 +113,23 @@ def test_double_array_accepts_exactly_its_phrases():
     words = [int(ids[c - 1]) for c in text]
     exp = Counter(p for k in range(2, 6) for i in range(len(words) - k + 1) if (p := tuple(words[i : i + k])) in set(phrases))
     assert seen == exp
+
+
+def test_a_task_holds_few_possible_candidates():
+    """Six million places in one task: what it gathers and sums at a time stays below 150 MB."""
+    rng = np.random.default_rng(5)
+    ids = np.arange(1 << 16)
+
+    def blocks():
+        for _ in range(24):
+            codes = rng.integers(1, len(ids) + 1, 1 << 18).astype(np.int32)
+            yield pd.DataFrame([(C._pack(codes), C._pack(ids), None)], columns=["codes", "ids", "marks"])
+
+    tracemalloc.start()
+    total = 0
+    for message in C._extensions(1, 4)(blocks()):
+        total += sum(int(C._unplanes(x).sum()) for x in message["counts"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 24 * ((1 << 18) - 1)
+    assert peak < 150e6

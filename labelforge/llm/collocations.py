@@ -16,7 +16,8 @@ each length the blocks shrink to the words that some candidate covers.
 
 A last pass over the shrunken blocks counts all lengths at once: positions
 advance through every shard of the trie, accepting states are counted by
-``bincount``, and the shards' counts are summed. These are the counts that the
+``bincount``. A task tells the counts of a shard's phrases in packed messages, and
+those about the same phrases are added up one by one. These are the counts that the
 scores use. Scores and the containment rule are DataFrame expressions.
 """
 
@@ -53,6 +54,9 @@ SHARD_PHRASES = 1 << 16
 #: Tries that are broadcast together; each has at most MAX_WORDS * SHARD_PHRASES states.
 ROUND_SHARDS = 8
 
+#: Phrases of a trie whose counts travel in one message.
+MESSAGE_PHRASES = 1 << 12
+
 #: Frequent words that are broadcast together, about.
 ROUND_WORDS = 1 << 19
 
@@ -361,8 +365,9 @@ def advance(codes: np.ndarray, ids: np.ndarray, trie: tuple, words: int) -> Iter
 
 
 def _opened(packed: list[tuple]) -> list[tuple]:
+    """(symbols, base, check, accept, ids) of the tries of a round."""
     kinds = ("<i8", "<i4", "<i4", "<i8", "<i8")
-    return [tuple(_unpack(x, k) for x, k in zip(row, kinds)) for row in packed]
+    return [tuple(_unpack(x, k) for x, k in zip(row, kinds)) for _, *row in packed]
 
 
 def _mark(packed, words: int, last: bool):
@@ -393,8 +398,12 @@ def _mark(packed, words: int, last: bool):
     return run
 
 
+#: The counts of the phrases of a trie from the number ``at`` on.
+_TOLD = "shard long, at int, counts binary"
+
+
 def _count(packed, words: int):
-    """(id, n): occurrences in a task's blocks of every phrase of the tries."""
+    """Messages of the occurrences in a task's blocks of a trie's phrases, MESSAGE_PHRASES each, in the order of their numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries = _opened(packed.value)
@@ -405,13 +414,36 @@ def _count(packed, words: int):
                 for n, (*trie, _) in zip(counts, tries):
                     for _, states in advance(codes, ids, trie, words):
                         n += np.bincount(states, minlength=len(n))
-        for n, (*trie, numbers) in zip(counts, tries):
-            seen = np.flatnonzero((n > 0) & (trie[3] >= 0))
-            yield pd.DataFrame({"id": numbers[trie[3][seen]], "n": n[seen]})
+        for (shard, *_), n, (*trie, numbers) in zip(packed.value, counts, tries):
+            ends = np.flatnonzero((n > 0) & (trie[3] >= 0))
+            if len(ends):
+                of_phrase = np.zeros(len(numbers), np.int64)
+                of_phrase[trie[3][ends]] = n[ends]
+                parts = [(shard, at, of_phrase[at : at + MESSAGE_PHRASES]) for at in range(0, len(numbers), MESSAGE_PHRASES)]
+                yield pd.DataFrame([(s, at, _planes(x)) for s, at, x in parts if x.any()], columns=["shard", "at", "counts"])
 
     return run
 
 
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The messages about the same phrases added up, one after another."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for shard, at, counts in zip(batch["shard"].tolist(), batch["at"].tolist(), batch["counts"]):
+            n = _unplanes(counts)
+            sums[shard, at] = sums[shard, at] + n if (shard, at) in sums else n
+    for (shard, at), n in sums.items():
+        yield pd.DataFrame([(shard, at, _planes(n))], columns=["shard", "at", "counts"])
+
+
+def _by_phrase(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, f) of the phrases of a summed message, from the ids of their trie."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            n = _unplanes(row.counts)
+            yield pd.DataFrame({"id": _unpack(row.ids, "<i8")[row.at : row.at + len(n)], "f": n})
+
+
 def _tries(phrases: DataFrame, shard_phrases: int) -> DataFrame:
     """One row per trie over ``phrases(id, words)``; a hash deals the phrases out."""
     shards = max(1, -(-phrases.count() // shard_phrases))
@@ -434,8 +466,8 @@ def _rounds(tries: DataFrame) -> Iterator[tuple]:
     for first in range(0, len(numbers), ROUND_SHARDS):
         group = numbers[first : first + ROUND_SHARDS]
         rows = tries.where(F.col("shard").isin(group)).collect()
-        packed = [(r["symbols"], r["base"], r["check"], r["accept"], r["ids"]) for r in rows]
-        yield tries.sparkSession.sparkContext.broadcast([tuple(map(bytes, p)) for p in packed]), first + ROUND_SHARDS >= len(numbers)
+        packed = [(r["shard"], *map(bytes, (r["symbols"], r["base"], r["check"], r["accept"], r["ids"]))) for r in rows]
+        yield tries.sparkSession.sparkContext.broadcast(packed), first + ROUND_SHARDS >= len(numbers)
 
 
 def phrase_counts(
@@ -493,12 +525,16 @@ def phrase_counts(
     unigrams = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "f")
     covered = coded if covered is None else covered
     counted = []
-    for packed, _ in _rounds(_tries(candidates, shard_phrases)):
-        counted.append(store(covered.mapInPandas(_count(packed, max_words), "id long, n long"), "shard-counts"))
+    tries = _tries(candidates, shard_phrases)
+    for packed, _ in _rounds(tries):
+        told = covered.mapInPandas(_count(packed, max_words), _TOLD).repartition("shard", "at")
+        counted.append(store(told.mapInPandas(_added, _TOLD), "shard-counts"))
         packed.destroy()
     if not counted:
         return unigrams, sizes
-    f = reduce(DataFrame.union, counted).groupBy("id").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    # a trie is in one round only
+    sums = reduce(DataFrame.union, counted).join(tries.select("shard", "ids"), "shard").select("ids", "at", "counts")
+    f = sums.mapInPandas(_by_phrase, "id long, f long").where(F.col("f") >= min_count)
     longer = candidates.join(f, "id").select("lang", "phrase", "n_words", "f")
     return store(unigrams.union(longer), "phrase-counts"), store(sizes, "phrase-sizes")
 

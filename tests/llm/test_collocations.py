@@ -133,3 +133,20 @@ def test_a_task_holds_few_possible_candidates():
     tracemalloc.stop()
     assert total == 24 * ((1 << 18) - 1)
     assert peak < 150e6
+
+
+@pytest.mark.parametrize("most, messages", [(1 << 12, [0]), (3, [0, 3])])
+def test_a_task_tells_the_counts_of_a_trie_in_few_messages(monkeypatch, most, messages):
+    monkeypatch.setattr(C, "MESSAGE_PHRASES", most)
+    phrases = [np.array(p, np.int64) for p in ((10, 20), (20, 30), (10, 20, 30), (30, 10), (30, 30))]
+    ids = np.array([10, 20, 30])
+    rows = pd.DataFrame([(C._pack(np.array(c, np.int32)), C._pack(ids), None) for c in ([1, 2, 3, 0, 1, 2], [2, 3, 1])], columns=["codes", "ids", "marks"])
+
+    class Packed:
+        value = [(7, *map(C._pack, (*C.double_array(phrases), np.arange(100, 105))))]
+
+    told = pd.concat(C._count(Packed, 5)(iter([rows])))
+    assert told["at"].tolist() == messages and set(told["shard"]) == {7}
+    twice = pd.concat(C._added(iter([told, told])))
+    out = pd.concat(C._by_phrase(iter([twice.assign(ids=[C._pack(np.arange(100, 105))] * len(twice))])))
+    assert out.values.tolist() == [[100, 4], [101, 4], [102, 2], [103, 2], [104, 0]]

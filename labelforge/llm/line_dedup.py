@@ -15,6 +15,11 @@ lines; what is between their common prefix and suffix is verified by a banded
 bit-parallel edit distance, whose band of ``2 * edits + 1`` diagonals is one
 machine word.
 
+A segment of many lines makes no row per pair: its lines are gathered in blocks of
+bounded size, block meets block, and a line gets its number of near lines from the
+block that it met. A pair counts at the smallest of the crowded segments that it
+shares, and there only.
+
 A line is removed where an earlier line (by doc_id, then line number) is equal
 or near. Lines below ``MIN_CHARS`` characters are left alone.
 """
@@ -51,9 +56,17 @@ ANCHOR_CHARS = 12
 #: Characters whose counts are compared before verification.
 COUNTED = "etaoinshrdlucmfwypvbgkz., "
 
-#: A segment of more lines than this is joined in parts, so that only pairs of like counts leave the join.
+#: A segment of more lines than this is joined block by block.
 HOT_SEGMENT = 16
 
+#: Lines of a block, about, as a multiple of that, and their characters, about; lines that probe, per block.
+BLOCK_SEGMENTS = 64
+BLOCK_CHARS = 1_000_000
+PROBE_BLOCK = 256
+
+#: Lines of one step within a block: the bits of a word.
+STEP_LINES = 64
+
 #: Lines to look up below this number are broadcast (ids of eight bytes); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -270,74 +283,188 @@ def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def near_lines(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = HOT_SEGMENT) -> DataFrame:
-    """(a, b): ids of the distinct lines within the edits of a's band, a's line no longer than b's; every pair once."""
-    long = lines.where(F.col("length") >= slices(bands)[0][0]).select("id", "line", "length")
+def _within(a: Column, b: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """Whether line ``a``, no longer than ``b``, is within its band's edits of it."""
+    return _let(
+        stripped(a["line"], b["line"]),
+        lambda rest: _by_band(a["n"], bands, lambda edits: banded_edit_distance(rest["a"], rest["b"], edits) <= edits),
+    )
+
+
+def _like(a: Column, b: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """Whether a pair is to be compared in this order and may be near by lengths and character counts."""
+    edits = allowed_edits(a["n"], bands)
+    ordered = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["id"] < b["id"]))
+    return ordered & (b["n"] - a["n"] <= edits) & like_counts(a["c"], b["c"], edits)
+
+
+def _candidates(lines: DataFrame, bands: tuple[tuple[int, int], ...], hot: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs that share a segment of few lines, the lines of all candidates).
+
+    Pairs: (a, b). Lines: (id, line, n, first, c, indexed, probed); the arrays name
+    the crowded segments that a line is in or looks into, with their numbers of blocks.
+    """
+    long = lines.where(F.col("length") >= slices(bands)[0][0]).select("id", "line", "length", "first")
     index, probe = cut_lineage(index_keys(long, bands), "segment-index"), probe_keys(long, bands)
     once = F.expr("a <> b and (na < nb or (na = nb and a < b))") & (F.col("nb") - F.col("na") <= allowed_edits(F.col("na"), bands))
-    crowded = cut_lineage(
-        index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / (16 * max(1, hot))).cast("int").alias("parts")),
-        "crowded-segments",
-    )
+
+    def blocks(of: Column, most: int) -> Column:
+        return F.ceil(F.greatest(F.count("*") / most, F.sum(of) / BLOCK_CHARS)).cast("int")
+
+    counted = index.groupBy("key").agg(F.count("*").alias("n"), blocks(F.col("na"), BLOCK_SEGMENTS * max(1, hot)).alias("parts"))
+    crowded = cut_lineage(counted.where(F.col("n") > hot).select("key", "parts"), "crowded-segments")
     # one pass of the probes: crowded segments are met by their key alone, the others by their lines
-    sought = index.join(crowded, "key", "left_anti").select("key", "a", "na", F.lit(None).cast("int").alias("parts"))
-    sought = sought.union(crowded.select("key", F.lit(None).cast("long"), F.lit(None).cast("int"), "parts"))
-    met = sought.join(probe, "key").where(F.col("a").isNull() | once).select("key", "a", "parts", "b")
+    sought = index.join(crowded, "key", "left_anti").select("key", "a", "na")
+    sought = sought.union(crowded.select("key", F.lit(None).cast("long"), F.lit(None).cast("int")))
+    met = sought.join(probe, "key").where(F.col("a").isNull() | once).select("key", "a", "b", F.when(F.col("a").isNull(), F.col("nb")).alias("nb"))
     met = cut_lineage(met, "segment-matches")
     cold = met.where("a is not null").select("a", "b").distinct()
-    hot_probe = met.where("a is null").select("key", "parts", "b")
-    hot_index = cut_lineage(index.drop("na").join(crowded, "key"), "crowded-index")
-    ids = cut_lineage(
-        cold.select(F.col("a").alias("id"))
-        .union(cold.select("b"))
-        .union(hot_index.select("a"))
-        .union(hot_probe.select("b"))
-        .distinct(),
-        "candidate-lines",
+    hot_probe = met.where("a is null").select("key", "b", "nb")
+    sizes = cut_lineage(hot_probe.groupBy("key").agg(blocks(F.col("nb"), PROBE_BLOCK).alias("blocks")).join(crowded, "key"), "segment-blocks")
+    hots = (
+        index.join(sizes, "key").select(F.col("a").alias("id"), F.struct("key", "parts").alias("i"), F.lit(None).alias("p"))
+        .unionByName(hot_probe.join(sizes, "key").select(F.col("b").alias("id"), F.lit(None).alias("i"), F.struct("key", "parts", "blocks").alias("p")))
+        .groupBy("id")
+        .agg(F.collect_set("i").alias("indexed"), F.collect_set("p").alias("probed"))
     )
+    hots = cut_lineage(hots, "crowded-lines")
+    ids = cut_lineage(cold.select(F.col("a").alias("id")).union(cold.select("b")).union(hots.select("id")).distinct(), "candidate-lines")
     few = ids.count() <= BROADCAST_IDS
-    texts = store(long.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "candidate-texts")
-    counts = cut_lineage(texts.select("id", F.col("length").alias("n"), character_counts(F.col("line")).alias("c")), "candidate-counts")
-    a = counts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = counts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    like = like_counts(F.col("ca"), F.col("cb"), allowed_edits(F.col("na"), bands))
-    # index rows of crowded segments are dealt into parts, probes go to every part, and only pairs of like counts come out
-    left = hot_index.select("key", "a", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part")).join(a, "a")
-    right = hot_probe.select("key", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(b, "b")
-    paired = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & once & like)
-    checked = cold.join(a, "a").join(b, "b").where(once & like)
-    pairs = cut_lineage(checked.select("a", "b", "na").union(paired.select("a", "b", "na")).distinct(), "like-lines")
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    near = _let(
-        stripped(F.col("la"), F.col("lb")),
-        lambda rest: _by_band(F.col("na"), bands, lambda edits: banded_edit_distance(rest["a"], rest["b"], edits) <= edits),
-    )
-    return cut_lineage(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "near-lines")
+    texts = long.join(F.broadcast(ids) if few else ids, "id", "left_semi").join(hots, "id", "left")
+    texts = texts.select("id", "line", F.col("length").alias("n"), "first", character_counts(F.col("line")).alias("c"), "indexed", "probed")
+    return cold, store(texts, "candidate-texts")
+
+
+def _cold_links(cold: DataFrame, texts: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(a, b, before): the near pairs without a common crowded segment; whether b's place is the earlier one."""
+
+    def side(name: str, keys: str, *columns: str) -> DataFrame:
+        return texts.select(F.col("id").alias(name), F.struct("id", *columns, F.col(keys)["key"].alias("keys")).alias(f"of_{name}"))
+
+    a, b = F.col("of_a"), F.col("of_b")
+    apart = ~F.coalesce(F.arrays_overlap(a["keys"], b["keys"]), F.lit(False))
+    like = cold.join(side("a", "indexed", "n", "c"), "a").join(side("b", "probed", "n", "c"), "b").where(_like(a, b, bands) & apart)
+    like = cut_lineage(like.select("a", "b"), "like-lines")
+    whole = like.join(side("a", "indexed", "n", "line", "first"), "a").join(side("b", "probed", "n", "line", "first"), "b")
+    return whole.where(_within(a, b, bands)).select("a", "b", (b["first"] < a["first"]).alias("before"))
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(key, mine, theirs): every block of a crowded segment's lines with every block of the lines that look into it."""
+
+    def gathered(keys: str, number: str) -> DataFrame:
+        each = texts.select("*", F.explode(keys).alias("at"))
+        line = F.struct("id", "line", "n", "first", "c", F.col(keys)["key"].alias("keys"))
+        rows = each.select(F.col("at.key").alias("key"), F.col("at.parts").alias("parts"), F.pmod(F.xxhash64("id"), F.col(f"at.{number}")).cast("int").alias("block"), line.alias("line"))
+        return rows.groupBy("key", "parts", "block").agg(F.collect_list("line").alias("lines"))
+
+    mine = gathered("indexed", "parts").select("key", F.col("block").alias("part"), F.col("lines").alias("mine"))
+    theirs = gathered("probed", "blocks").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lines").alias("theirs"))
+    return mine.join(theirs, ["key", "part"]).select("key", "mine", "theirs")
+
+
+def _by_steps(body: Callable[[Column], Column]) -> Column:
+    """The arrays that ``body`` makes of each step of ``mine``, as one."""
+    starts = F.sequence(F.lit(1), F.size("mine"), F.lit(STEP_LINES))
+    return F.flatten(F.transform(starts, lambda at: _let(F.slice("mine", at, STEP_LINES), body)))
+
 
+def _hits(some: Column, b: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """Places in ``some`` of the lines near ``b`` whose smallest common crowded segment this is."""
 
-def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
+    def here(a: Column) -> Column:
+        return _like(a, b, bands) & (F.array_min(F.array_intersect(a["keys"], b["keys"])) == F.col("key")) & _within(a, b, bands)
+
+    return F.array_compact(F.transform(some, lambda a, i: F.when(here(a), i)))
+
+
+def _bits(places: Column) -> Column:
+    return F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+
+
+def _counted_ends(bands: tuple[tuple[int, int], ...]) -> Column:
+    """(id, links, late) of the lines of two blocks that have near lines in the other one."""
+
+    def step(some: Column) -> Column:
+        def row(b: Column) -> Column:
+            return _let(
+                _hits(some, b, bands),
+                lambda hits: F.struct(b["id"].alias("id"), _bits(hits).alias("near"), _bits(F.filter(hits, lambda i: F.get(some, i)["first"] < b["first"])).alias("before")),
+            )
+
+        def both(rows: Column) -> Column:
+            def own(a: Column, i: Column) -> Column:
+                bit = lambda word: F.call_function("shiftright", word, i).bitwiseAND(F.lit(1).cast("long"))
+                return F.struct(
+                    a["id"].alias("id"),
+                    F.aggregate(rows, F.lit(0).cast("long"), lambda s, r: s + bit(r["near"])).alias("links"),
+                    F.exists(rows, lambda r: bit(r["near"].bitwiseXOR(r["before"])) == 1).alias("late"),
+                )
+
+            other = F.transform(rows, lambda r: F.struct(r["id"].alias("id"), F.bit_count(r["near"]).cast("long").alias("links"), (r["before"] != 0).alias("late")))
+            return F.when(F.size(rows) > 0, F.concat(other, F.filter(F.transform(some, own), lambda e: e["links"] > 0))).otherwise(other)
+
+        return _let(F.filter(F.transform("theirs", row), lambda r: r["near"] != 0), both)
+
+    return _by_steps(step)
+
+
+def _late_ends(bands: tuple[tuple[int, int], ...]) -> Column:
+    """(id, links, late) of the lines of two blocks that have an earlier near line in the other one; links are not counted."""
+    marked = lambda x: F.struct(x["id"].alias("id"), F.lit(None).cast("long").alias("links"), F.lit(True).alias("late"))
+    near = lambda a, b: _like(a, b, bands) & _within(a, b, bands)
+    mine = F.filter("mine", lambda a: F.exists("theirs", lambda b: (b["first"] < a["first"]) & near(a, b)))
+    theirs = F.filter("theirs", lambda b: F.exists("mine", lambda a: (a["first"] < b["first"]) & near(a, b)))
+    return F.concat(F.transform(mine, marked), F.transform(theirs, marked))
+
+
+def near_lines(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = HOT_SEGMENT) -> DataFrame:
+    """(a, b): ids of the distinct lines within the edits of a's band, a's line no longer than b's; every pair once."""
+    cold, texts = _candidates(lines.select("id", "line", "length", F.col("id").alias("first")), bands, hot)
+
+    def step(some: Column) -> Column:
+        ends = lambda b: F.transform(_hits(some, b, bands), lambda i: F.struct(F.get(some, i)["id"].alias("a"), b["id"].alias("b")))
+        return F.flatten(F.transform("theirs", ends))
+
+    crowded = _blocks(texts).select(F.explode(_by_steps(step)).alias("pair")).select("pair.a", "pair.b")
+    return cut_lineage(_cold_links(cold, texts, bands).select("a", "b").union(crowded), "near-lines")
+
+
+def line_links(
+    lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = HOT_SEGMENT, counted: bool = True
+) -> DataFrame:
+    """(id, links, late) of the lines that have near ones: their number, and whether one has an earlier place.
+
+    Without ``counted`` a line is done with a block at the first earlier near line: ``late`` alone is meant.
+    """
+    cold, texts = _candidates(lines, bands, hot)
+    end = lambda name, late: F.struct(F.col(name).alias("id"), F.lit(1).cast("long").alias("links"), late.alias("late"))
+    few = _cold_links(cold, texts, bands).select(F.explode(F.array(end("a", F.col("before")), end("b", ~F.col("before")))).alias("end"))
+    many = _blocks(texts).select(F.explode(_counted_ends(bands) if counted else _late_ends(bands)).alias("end"))
+    ends = few.union(many).select("end.id", "end.links", "end.late")
+    return cut_lineage(ends.groupBy("id").agg(F.sum("links").alias("links"), F.max("late").alias("late")), "line-links")
+
+
+def line_decisions(
+    docs: DataFrame, min_chars: int = MIN_CHARS, bands: tuple[tuple[int, int], ...] = BANDS, counted: bool = True
+) -> DataFrame:
     """(doc_id, kept_lines, near_removed, near_links): line numbers per document that holds a first place.
 
     ``kept_lines`` are first places that stay, ``near_removed`` first places that
-    have an earlier near line, ``near_links`` counts the near lines of both.
+    have an earlier near line, ``near_links`` counts the near lines of both (not
+    there without ``counted``).
     """
     lines = distinct_lines(docs, min_chars)
-    links = near_lines(lines, bands)
-    firsts = lines.select("id", "first")
-    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
-    met = ends.join(firsts, "id").join(firsts.select(F.col("id").alias("other"), F.col("first").alias("before")), "other")
-    linked = met.groupBy("id").agg(
-        F.count("*").alias("links"), F.max(F.col("before") < F.col("first")).alias("late")
-    )
+    linked = line_links(lines, bands, counted=counted)
     place = lines.select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     marked = place.join(linked, "id", "left")
     late = F.coalesce("late", F.lit(False))
-    return marked.groupBy("doc_id").agg(
+    found = marked.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.when(~late, F.col("line_no")))).alias("kept_lines"),
         F.array_sort(F.collect_list(F.when(late, F.col("line_no")))).alias("near_removed"),
         F.coalesce(F.sum("links"), F.lit(0)).alias("near_links"),
     )
+    return found if counted else found.drop("near_links")
 
 
 def _eligible(text: Column, min_chars: int) -> Column:
@@ -383,7 +510,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, **options) -> DataF
     are trimmed of blanks for comparison only; extra columns pass unchanged,
     whatever their names; an empty table gives no rows.
     """
-    choices = line_decisions(docs, min_chars=min_chars, **options).select(F.col("doc_id").alias("of"), "kept_lines")
+    choices = line_decisions(docs, min_chars=min_chars, counted=False, **options).select(F.col("doc_id").alias("of"), "kept_lines")
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("key"))
     joined = rows.join(choices, F.col("key").eqNullSafe(F.col("of")), "left")
     text = F.col("doc.text")

@@ -199,3 +199,28 @@ def test_one_replaced_word_makes_a_long_line_near(spark):
     for options, exp in (({}, {0: 0, 1: 1, 2: 0}), ({"bands": LONGER}, {0: 0, 1: 1, 2: 1})):
         got = {r.doc_id: r.n_near_removed for r in L.line_report(from_texts(spark, [line, short, other]), **options).collect()}
         assert got == exp
+
+
+def test_a_cluster_of_near_lines_makes_no_row_per_pair(spark, monkeypatch):
+    letters = "abcdefghijklmnop"
+    lines = [f"a line of the cluster that differs {x}{y} in two letters at most from each other" for x in letters for y in letters]
+    random.seed(5)
+    random.shuffle(lines)
+    df = from_texts(spark, ["\n".join(lines[:100]), "\n".join(lines[100:])])
+    written, cut = [], L.cut_lineage
+
+    def recorded(table, name):
+        out = cut(table, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "cut_lineage", recorded)
+    for name, value in (("BLOCK_SEGMENTS", 1), ("PROBE_BLOCK", 24), ("STEP_LINES", 7)):
+        monkeypatch.setattr(L, name, value, raising=False)  # several blocks and steps
+    n = len(lines)
+    report = {r.doc_id: r for r in L.line_report(df).collect()}
+    ids = sorted(report)
+    assert [report[i].near_links for i in ids] == [100 * (n - 1), (n - 100) * (n - 1)]
+    assert [report[i].n_near_removed for i in ids] == [99, n - 100]
+    assert "\n".join(r.text for r in L.dedup_lines(df).orderBy("doc_id").collect()).strip() == lines[0]
+    assert max(written) <= 20 * n < n * (n - 1) // 2

@@ -43,3 +43,18 @@ def test_kmeans_centres_are_unit_rows():
     centres = cell_tree.spherical_kmeans(rows, 2)
     assert centres.shape == (2, 2)
     assert len(cell_tree.spherical_kmeans(np.ones((6, 3)), 4)) == 1
+
+
+def test_single_precision_vectors_stay_so_and_meet_the_same_cells(spark, tmp_path):
+    from labelforge.sources import driver
+
+    rows = cell_tree._units(np.random.default_rng(4).standard_normal((200, 8))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    vecs = driver.embedding_vectors(spark, str(tmp_path))
+    assert vecs.schema["embedding"].dataType.simpleString() == "array<float>"
+    wide = vecs.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    as_queries = lambda v: v.select(F.col("first_ord").alias("query_ord"), "embedding")
+    tree = cell_tree.build(vecs, cells=12)
+    found = cell_tree.search(tree, as_queries(vecs), 5, tree.leaves.count(), len(tree.branches), query_block=50)
+    assert hits(found) == hits(dense.exact_topk(as_queries(wide), wide, 5))

@@ -40,9 +40,17 @@ def labels_of(labels: DataFrame, name: str) -> DataFrame:
     )
 
 
-def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Like ``cut_lineage`` with a denser codec, for tables that hold texts."""
+def store(df: DataFrame, name: str, codec: str = "zstd", group_bytes: int | None = None) -> DataFrame:
+    """Like ``cut_lineage`` with a denser codec, for tables that hold texts.
+
+    ``group_bytes``: bytes of a row group, about, for rows of megabytes. Spark's writer
+    and reader hold a row group whole, and by default look at its size every 100 rows.
+    """
     base, app = checkpoint_dir(df.sparkSession).rstrip("/"), df.sparkSession.sparkContext.applicationId
     path = f"{base}/labelforge-tables/{app}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").option("compression", codec).parquet(path)
+    out = df.write.mode("errorifexists").option("compression", codec)
+    if group_bytes is not None:
+        checks = {f"parquet.{part}.size.row.check.{end}": "1" for part in ("block", "page") for end in ("min", "max")}
+        out = out.options(**checks, **{"parquet.block.size": str(group_bytes)})
+    out.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -23,13 +23,14 @@ import math
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,6 +51,9 @@ BLOCK_CHARS = 1 << 24
 #: Bytes of item texts that are broadcast together, about.
 ROUND_BYTES = 4 << 20
 
+#: Bytes of stored blocks, or of texts, that a task reads or hands to Python at a time (one larger row alone).
+HELD_BYTES = 8 << 20
+
 #: Levels above the documents at which ranges are ordered, and ranges opened per item and step.
 RANGE_LEVELS = 6
 RANGES_AT_ONCE = 2
@@ -335,6 +339,18 @@ def _with_maxima(documents: int, all_terms: int):
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python ``HELD_BYTES`` at a time: a block is megabytes, and a task may have any number."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(HELD_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass
 class LexicalIndex:
     """Blocks of the grid, and what the ranking counts over all documents."""
@@ -348,11 +364,12 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int
     """The index of ``docs(doc_id, text)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", whole_text().alias("text"))
-    grids = store(rows.mapInPandas(_grids(block_docs, block_chars), _GRID.format(kind)), "lexical-grids")
-    sizes = grids.select("lengths").mapInPandas(_sizes, "documents long, terms long")
-    sizes = sizes.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.sum("terms").alias("terms")).first()
-    blocks = grids.mapInPandas(_with_maxima(sizes["documents"], sizes["terms"]), _INDEX.format(kind))
-    return LexicalIndex(store(blocks, "lexical-index"), sizes["documents"], kind)
+    with _small_batches(docs.sparkSession):
+        grids = store(rows.mapInPandas(_grids(block_docs, block_chars), _GRID.format(kind)), "lexical-grids", group_bytes=HELD_BYTES)
+        sizes = grids.select("lengths").mapInPandas(_sizes, "documents long, terms long")
+        sizes = sizes.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.sum("terms").alias("terms")).first()
+        blocks = grids.mapInPandas(_with_maxima(sizes["documents"], sizes["terms"]), _INDEX.format(kind))
+        return LexicalIndex(store(blocks, "lexical-index", group_bytes=HELD_BYTES), sizes["documents"], kind)
 
 
 def _block_terms(data: bytes) -> list[bytes]:
@@ -418,7 +435,8 @@ def search(index: LexicalIndex, items: DataFrame, k: int = TOP, round_bytes: int
         place = {t: i for i, t in enumerate(terms)}
         packed = spark.sparkContext.broadcast(terms)
         rows = index.blocks.select("terms", "df").mapInPandas(_document_counts(packed), "term long, df long")
-        df = {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        with _small_batches(spark):
+            df = {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.sum("df").alias("df")).collect()}
         packed.destroy()
         weight = {t: math.floor(1000 * math.log((2 * index.documents + 2) / (2 * n + 1))) for t, n in df.items()}
         cells = [(i, place[t], n * weight[place[t]]) for i, c in enumerate(counted) for t, n in c.items() if weight.get(place[t])]
@@ -426,7 +444,8 @@ def search(index: LexicalIndex, items: DataFrame, k: int = TOP, round_bytes: int
         packed = spark.sparkContext.broadcast((terms, *arrays))
         best = index.blocks.mapInPandas(_search(packed, len(asked), k), f"block string, number long, doc_id {index.id_type}, score long")
         names = spark.createDataFrame([(i, r["item"]) for i, r in enumerate(asked)], "number long, item long")
-        found.append(store(best.join(F.broadcast(names), "number").select("block", "item", "doc_id", "score"), "block-hits"))
+        with _small_batches(spark):
+            found.append(store(best.join(F.broadcast(names), "number").select("block", "item", "doc_id", "score"), "block-hits"))
         packed.destroy()
     hits = found[0]
     for more in found[1:]:

@@ -65,6 +65,35 @@ def test_several_rounds_and_one_index(spark):
     assert whole == exp == found(S.search(index, items, round_bytes=4000))
 
 
+def test_tasks_hold_a_few_blocks_at_a_time(spark, monkeypatch):
+    """However many blocks a task has: it writes, reads and hands them to Python a few bytes at a time."""
+    import pandas as pd
+    import pyarrow.parquet as pq
+
+    def lengths(batches):
+        yield from (pd.DataFrame({"n": [len(batch)]}) for batch in batches)
+
+    monkeypatch.setattr(S, "HELD_BYTES", 20_000, raising=False)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 997}" for j in range(60))) for i in range(600)], "doc_id long, text string").coalesce(1)
+    index = S.build_index(docs, block_docs=10)
+    groups = []
+    for f in index.blocks.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+        groups += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= 20
+    seen = index.blocks.coalesce(1).select("terms", "masks", "maxima", "ids")
+    rows = lambda: max(r.n for r in seen.mapInPandas(lengths, "n long").collect())
+    whole = rows()
+    with S._small_batches(spark):
+        assert rows() < whole == 60
+    assert spark.conf.get(key) == before
+    items = [(i, f"w{i} w{2 * i}") for i in range(5)]
+    got = found(S.search(index, spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], items)
+
+
 def test_awkward_and_empty_tables(spark):
     docs = awkward(spark)
     items = spark.createDataFrame([(1, "the old clock"), (2, "word5 and5 row without")], "item_id int, text string")
